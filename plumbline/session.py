@@ -29,6 +29,7 @@ def build_session(cpus: str | int = "*", app: str = "plumbline", memory: str = "
         builder.config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
