@@ -15,7 +15,9 @@ def col(c) -> Column:
 
 
 def clamp(x, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), col(x)))
+    """Value held in [lo, hi]; NULL stays NULL (greatest and least skip NULL)."""
+    x = col(x)
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x)))
 
 
 def clamp_prob(p, eps: float = EPS_RECORD) -> Column:
