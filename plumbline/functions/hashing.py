@@ -39,9 +39,13 @@ def poisson_cuts(n: int = 10) -> list[float]:
     return cuts
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) by inverse distribution function of a uniform draw."""
+def poisson_weight(digits: Column) -> Column:
+    """Poisson(1) draw of 8 hex digits by inverse distribution function.
+
+    Fixed-width lower-case hex sorts like the number it spells, so the draw is
+    compared as text against each cut and never converted.
+    """
     out = F.lit(0)
     for cut in poisson_cuts():
-        out = out + (u >= F.lit(cut)).cast("int")
+        out = out + (digits >= F.lit(f"{math.ceil(cut * TWO_32):08x}")).cast("int")
     return out
