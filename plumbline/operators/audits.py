@@ -36,7 +36,7 @@ def stratified_fpr(
     interval is Wilson, or Clopper-Pearson with `exact`.
     """
     hot, neg = F.col(p) >= F.lit(thr), F.col(label) == 0
-    per = membership.join(scores.select(ident, p, label), ident).groupBy("subgroup").agg(
+    per = M.with_bin(membership.join(scores.select(ident, p, label), ident), p).groupBy("subgroup").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(neg).alias("n_neg"),
         F.count_if(hot & neg).alias("n_fp"),
@@ -159,7 +159,7 @@ def fairness_gate(source_rows: DataFrame, finding_rows: DataFrame) -> DataFrame:
 
 def lodo_report(folds: DataFrame, keys: Sequence[str], remix: Sequence[str], thr: float, p: str = "p", label: str = "label") -> DataFrame:
     """Per fold: n, AUC, ECE, cold-start sens/spec at the frozen threshold, leakage-prone flag."""
-    base = folds.groupBy(*keys).agg(
+    base = M.with_bin(folds, p).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("pos"), M.ece_from_sums(p, label).alias("ece")
     )
     cold = M.sens_spec(M.confusion(folds, keys, p, label, thr)).select(*keys, "sens", "spec")

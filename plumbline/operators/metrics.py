@@ -223,16 +223,17 @@ def reliability_bins(df: DataFrame, keys: Sequence[str], p="p", label="label", b
     )
 
 
+def with_bin(df: DataFrame, p, bins: int = 10) -> DataFrame:
+    """Add the bin index once, ahead of an aggregation that uses it many times."""
+    return df.withColumn("__bin", edge_bin(p, linspace_edges(bins)))
+
+
 def ece_from_sums(p, label, bins: int = 10) -> Column:
-    """ECE as one aggregate expression, for use next to other aggregates of the same pass."""
-    edges = linspace_edges(bins)
-    b = edge_bin(p, edges)
+    """ECE as one aggregate expression over `with_bin` rows, next to other aggregates of the same pass."""
+    b = F.col("__bin")
     total = F.lit(0.0)
     for i in range(bins):
-        total = total + F.abs(
-            F.coalesce(F.sum(F.when(b == i, col(p))), F.lit(0.0))
-            - F.coalesce(F.sum(F.when(b == i, col(label))), F.lit(0)).cast("double")
-        )
+        total = total + F.abs(F.coalesce(F.sum(F.when(b == i, col(p) - col(label))), F.lit(0.0)))
     return total / F.count(b)
 
 
@@ -252,7 +253,7 @@ def locked_metrics(
     hot, pos = pc >= F.lit(thr), col(label) == 1
     abstain = (pc >= F.lit(low)) & ~hot
     miss = ~hot & ~abstain
-    base = df.groupBy(*keys).agg(
+    base = with_bin(df, p).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         _count_if(pos).alias("n_pos"),
         _count_if(~pos).alias("n_neg"),
