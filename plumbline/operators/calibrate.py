@@ -7,6 +7,7 @@ gradient sums are tree-aggregated; they return the converged optimum.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import LogisticRegression
@@ -20,6 +21,7 @@ from plumbline.operators.metrics import order_statistic
 
 TEMPERATURE_BOUNDS = (0.05, 20.0)
 REFINE_POINTS = 100
+ROWS_PER_PARTITION = 50_000
 REFINE_LEVELS = 3
 
 
@@ -80,14 +82,18 @@ def fit_temperature_bounded(
 
 
 def _logistic(df: DataFrame, features: Sequence[str], reg: float, weight: str | None = None):
-    packed = VectorAssembler(inputCols=list(features), outputCol="__x").transform(df)
+    packed = VectorAssembler(inputCols=list(features), outputCol="__x").transform(df).persist()
+    # Every solver step is one job over the partitions: size them by rows, not by the cluster.
+    sized = packed.coalesce(max(1, math.ceil(packed.count() / ROWS_PER_PARTITION)))
     model = LogisticRegression(
         featuresCol="__x", labelCol="__y", regParam=reg, elasticNetParam=0.0, standardization=False,
-        maxIter=200, tol=1e-10, family="binomial",
+        maxIter=100, tol=1e-9, family="binomial",
     )
     if weight:
         model = model.setWeightCol(weight)
-    return model.fit(packed)
+    fitted = model.fit(sized)
+    packed.unpersist()
+    return fitted
 
 
 def platt_rows(df: DataFrame, z: str, label: str) -> DataFrame:
