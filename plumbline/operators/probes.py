@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,6 +22,7 @@ from plumbline.operators import splits as S
 
 MAX_SOURCES = 256
 ROWS_PER_PARTITION = 20_000
+PARALLEL_FITS = 8
 
 
 def as_features(df: DataFrame, vector: str = "v") -> DataFrame:
@@ -77,7 +80,7 @@ def linear_probe(
     scaler = StandardScaler(inputCol="__in", outputCol="__scaled", withMean=True, withStd=True).fit(ready)
     model = LogisticRegression(
         featuresCol="__scaled", labelCol="__y", weightCol="__w", regParam=(n - 1) / (c * n * n), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter, tol=1e-6, family="multinomial" if multiclass else "binomial",
+        standardization=False, maxIter=max_iter, tol=1e-4, family="multinomial" if multiclass else "binomial",
     ).fit(scaler.transform(ready))
     return Probe(scaler, model, keep)
 
@@ -94,6 +97,12 @@ def _two_class(df: DataFrame, source: str, label: str) -> list:
     return listed(S.two_class_sources(df, source, label), source)
 
 
+def _each(spark, fn, items: Sequence) -> list:
+    """fn over independent fits from a few driver threads, the way cross-validation runs them."""
+    with ThreadPool(min(PARALLEL_FITS, max(1, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(fn), items)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -103,11 +112,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def probe_lodo(df: DataFrame, source: str = "source", label: str = "label", balanced: bool = True, group: str = "grp") -> DataFrame:
     """AUC per left-out source (single-class sources skipped), with its rows and groups."""
-    parts = []
-    for s in _two_class(df, source, label):
+
+    def fold(s) -> DataFrame:
         probe = linear_probe(df.filter(F.col(source) != s), label, balanced=balanced)
-        parts.append(probe.score(df.filter(F.col(source) == s)).select(source, group, label, "score"))
-    scored = _union(parts)
+        return probe.score(df.filter(F.col(source) == s)).select(source, group, label, "score")
+
+    scored = _union(_each(df.sparkSession, fold, _two_class(df, source, label)))
     sizes = scored.groupBy(source).agg(F.count_distinct(group).alias("n_groups"))
     return M.auc(scored, [source], "score", label).withColumn("n", F.col("n_pos") + F.col("n_neg")).join(sizes, source)
 
@@ -120,28 +130,29 @@ def lodo_means(folds: DataFrame) -> DataFrame:
     return folds.agg(F.avg("auc").alias("macro"), weighted("n").alias("by_rows"), weighted("n_groups").alias("by_groups"))
 
 
-def cv_scores(df: DataFrame, label: str, k: int = 5, group: str = "grp", ident: str = "id", balanced: bool = False) -> DataFrame:
-    """Grouped k-fold decision scores with their fold."""
-    folded = S.stratified_group_kfold(df, k, label, group, ident=ident).persist()
-    parts = []
-    for f in listed(folded, "fold"):
-        probe = linear_probe(folded.filter(F.col("fold") != f), label, balanced=balanced)
-        parts.append(probe.score(folded.filter(F.col("fold") == f)).select(ident, "fold", label, "score"))
-    return _union(parts)
-
+def probe_within_source(
+    df: DataFrame, source: str = "source", label: str = "label", k: int = 5, floor: int = 10, group: str = "grp"
+) -> DataFrame:
+    """Mean grouped k-fold AUC inside each source; NULL under `floor` rows of a class.
 
-def probe_within_source(df: DataFrame, source: str = "source", label: str = "label", k: int = 5, floor: int = 10) -> DataFrame:
-    """Mean fold AUC inside each source; NULL under `floor` rows of a class."""
+    Folds of all sources are dealt in one pass; the loop is over (source, fold) fits.
+    """
     sizes = df.groupBy(source).agg(
         F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg")
     )
     big = listed(sizes.filter((F.col("n_pos") >= floor) & (F.col("n_neg") >= floor)), source)
     if not big:
         return sizes.withColumn("auc", F.lit(None).cast("double"))
-    parts = [
-        cv_scores(df.filter(F.col(source) == s), label, k).withColumn(source, F.lit(s)).select(source, "fold", label, "score")
-        for s in big
-    ]
+    keyed = df.filter(F.col(source).isin(big)).withColumn("__g", F.concat_ws("|", source, group))
+    folded = S.stratified_group_kfold(keyed, k, label, "__g", within=[source])
+    folded = folded.select(source, label, "fold", "features").persist()
+
+    def fold(at: tuple) -> DataFrame:
+        own = folded.filter(F.col(source) == at[0])
+        probe = linear_probe(own.filter(F.col("fold") != at[1]), label)
+        return probe.score(own.filter(F.col("fold") == at[1])).select(source, "fold", label, "score")
+
+    parts = _each(df.sparkSession, fold, [(s, f) for s in big for f in range(k)])
     folds = M.auc(_union(parts), [source, "fold"], "score", label).filter("auc IS NOT NULL")
     return sizes.join(folds.groupBy(source).agg(F.avg("auc").alias("auc")), source, "left")
 
@@ -161,11 +172,12 @@ def site_prediction(df: DataFrame, source: str = "source", k: int = 5, group: st
     coded = df.withColumn("__site", code)
     # Deal groups to folds by draw; the label stratum is the site parity.
     folded = S.stratified_group_kfold(coded.withColumn("__two", F.col("__site") % 2), k, "__two", group).persist()
-    parts = []
-    for f in listed(folded, "fold"):
+
+    def fold(f) -> DataFrame:
         probe = linear_probe(folded.filter(F.col("fold") != f), "__site", balanced=True, multiclass=True)
-        parts.append(probe.predict(folded.filter(F.col("fold") == f)).select("fold", "__site", "predicted"))
-    hits = _union(parts).withColumn("hit", (F.col("__site") == F.col("predicted")).cast("double"))
+        return probe.predict(folded.filter(F.col("fold") == f)).select("fold", "__site", "predicted")
+
+    hits = _union(_each(df.sparkSession, fold, listed(folded, "fold"))).withColumn("hit", (F.col("__site") == F.col("predicted")).cast("double"))
     acc = hits.groupBy("fold").agg(F.avg("hit").alias("a")).agg(
         F.avg("a").alias("cv_accuracy"), F.stddev_pop("a").alias("cv_std"), F.count(F.lit(1)).alias("n_folds")
     )
@@ -193,12 +205,13 @@ def channel_ablation(train: DataFrame, unseen: DataFrame, label: str = "label",
     """AUC after dropping the channels of largest |coefficient|, refitted, with the retained fraction."""
     base = linear_probe(train, label)
     order = sorted(range(len(base.coefficients())), key=lambda i: (-abs(base.coefficients()[i]), i))
-    parts = []
-    for d in drops:
+
+    def drop(d: int) -> DataFrame:
         keep = sorted(set(range(len(order))) - set(order[:d]))
         probe = base if d == 0 else linear_probe(train, label, keep=keep)
         one = M.auc(probe.score(unseen).select(label, "score"), [], "score", label)
-        parts.append(one.select(F.lit(d).alias("dropped"), F.lit(len(keep)).alias("n_channels"), "auc"))
-    curve = _union(parts)
+        return one.select(F.lit(d).alias("dropped"), F.lit(len(keep)).alias("n_channels"), "auc")
+
+    curve = _union(_each(train.sparkSession, drop, list(drops)))
     first = curve.filter("dropped = 0").select("auc")
     return curve.withColumn("retained", F.col("auc") / first.scalar())

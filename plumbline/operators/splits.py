@@ -124,12 +124,19 @@ def stratified_kfold(df: DataFrame, k: int, label: str = "label", seed: int = 7,
 
 
 def stratified_group_kfold(
-    df: DataFrame, k: int, label: str = "label", group: str = "grp", seed: int = 7, ident: str = "id"
-) -> DataFrame:
-    """No group spans folds: groups are dealt round-robin within their majority-label stratum."""
-    groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("__rows"), F.avg(label).alias("__share"))
+    df: DataFrame, k: int, label: str = "label", group: str = "grp", seed: int = 7, ident: str = "id",
+    within: Sequence[str] = (),
+) -> DataFrame:
+    """No group spans folds: groups are dealt round-robin within their majority-label stratum.
+
+    `within` adds columns that are constant inside a group to the stratum, so every
+    source gets its own k folds in one pass.
+    """
+    groups = df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("__rows"), F.avg(label).alias("__share"), *[F.min(c).alias(c) for c in within]
+    )
     groups = groups.withColumn("__major", (F.col("__share") >= 0.5).cast("int"))
-    dealt = shuffled_rank(groups, ["__major"], seed, [group], "__rn").select(
+    dealt = shuffled_rank(groups, [*within, "__major"], seed, [group], "__rn").select(
         group, "__rows", ((F.col("__rn") - 1) % k).cast("int").alias("fold")
     )
     return skew_attach(df, dealt, group, [ident], "__rows")
