@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,26 +23,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.functions.maths import col
 from plumbline.functions.ranking import ranked, value_bucket
 from plumbline.functions.skew import skew_attach
-from plumbline.session import settle
+from plumbline.session import settle, spread_small
 
 WORDS = ("s0", "s1", "s2", "s3")
 THRESHOLD = 6
 SHINGLE = 1
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-_BLOCK = 65_536
+_BLOCK = 16_384
 # Hex digit widths of the 7 disjoint bands of a 64-digit signature.
 BAND_WIDTHS = (10, 9, 9, 9, 9, 9, 9)
 
 
+@lru_cache(maxsize=1 << 16)
+def _digest(run: str) -> bytes:
+    return hashlib.sha256(run.encode()).digest()
+
+
 def _simhash(text: str, size: int = SHINGLE) -> np.ndarray:
     """Majority bits of the SHA-256 of every word run, as four big-endian words."""
     words = [w for w in _BLANKS.split(text or "") if w]
     n = max(len(words) - size + 1, 1)
-    votes = np.zeros(256, dtype="int64")
+    votes = np.zeros(256)
     for at in range(0, n, _BLOCK):
-        runs = (" ".join(words[i : i + size]) for i in range(at, min(at + _BLOCK, n)))
-        digests = b"".join(hashlib.sha256(r.encode()).digest() for r in runs)
-        votes += np.unpackbits(np.frombuffer(digests, dtype="uint8").reshape(-1, 32), axis=1).sum(axis=0, dtype="int64")
+        runs = Counter(" ".join(words[i : i + size]) for i in range(at, min(at + _BLOCK, n)))
+        digests = np.frombuffer(b"".join(map(_digest, runs)), dtype="uint8").reshape(-1, 32)
+        # A block's counts stay below 2^24, so single precision adds them exactly.
+        votes += np.fromiter(runs.values(), "float32", len(runs)) @ np.unpackbits(digests, axis=1).astype("float32")
     return np.packbits(votes * 2 > n).view(">i8").astype("int64")
 
 
@@ -54,10 +62,11 @@ def text_signatures(df: DataFrame, ident: str = "id", text: str = "text") -> Dat
     """256-bit SimHash per item as four BIGINT words (ident, s0..s3).
 
     Every run of SHINGLE consecutive words of the whole text votes with its SHA-256
-    bits; a shorter text is one run. Map-only: the text never crosses a shuffle,
-    one narrow row per item leaves the task. A long text is voted in blocks, so
+    bits; a shorter text is one run. Map-only for any input with enough splits: the
+    text does not cross a shuffle, one narrow row per item leaves the task. A long text is voted in blocks, so
     memory does not grow with it.
     """
+    df = spread_small(df.select(ident, text))
     hashed = F.pandas_udf(_simhash_batch, ", ".join(f"{w} bigint" for w in WORDS))
     return df.select(ident, hashed(F.col(text)).alias("__s")).select(ident, "__s.*")
 

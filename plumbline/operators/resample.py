@@ -22,6 +22,7 @@ from plumbline.operators import metrics as M
 from plumbline.operators import splits as S
 
 DRAWS_PER_HASH = 4
+REPLICATE_STEPS = 32
 
 
 def spread_replicates(df: DataFrame, n_boot: int, seed, keys: Sequence[str]) -> DataFrame:
@@ -57,13 +58,18 @@ def interval(df: DataFrame, keys: Sequence[str], value: str, prefix: str, level:
 
 def replicate_auc(
     df: DataFrame, keys: Sequence[str], score: str, label: str, n_boot: int, seed, draw_keys: Sequence[str], name: str = "auc",
+    steps: int = REPLICATE_STEPS,
 ) -> DataFrame:
-    """(keys, rep, auc): weighted AUC of every replicate, NULL for a single-class one."""
+    """(keys, rep, auc): weighted AUC of every replicate, NULL for a single-class one.
+
+    `steps` sets the score buckets per octave: each bucket is one group of work and
+    returns one row per replicate, so fewer than for plain ranks is right.
+    """
     # Rows with one score, label and draw key move together: combine them first.
     base = (
         df.groupBy(*keys, *[k for k in draw_keys if k not in keys], F.col(score).cast("double").alias("score"), F.col(label).alias("__y"))
         .agg(F.count(F.lit(1)).alias("__k"))
-        .withColumn("__b", value_bucket("score"))
+        .withColumn("__b", value_bucket("score", steps))
         .repartition(*keys, "__b")
     )
     each = spread_replicates(base, n_boot, seed, draw_keys).withColumn("__wk", F.col("w") * F.col("__k"))

@@ -50,3 +50,13 @@ def settle(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-"))
     return df.checkpoint(eager=True)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a narrow scan (one file, one split) a task per core before heavy per-row work.
+
+    Inputs with at least as many splits as the cluster has slots are left alone, so
+    large tables are never exchanged for this.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
