@@ -12,7 +12,7 @@ ROWS_PER_TASK = 1_000_000
 def skew_attach(
     left: DataFrame,
     right: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     ident: Sequence[str],
     count: str,
     how: str = "inner",
@@ -24,15 +24,22 @@ def skew_attach(
     salt and their left rows draw a salt from their identity. The list of such
     keys is broadcast; it has at most rows(left) / rows_per_task entries, since
     each stands for more than rows_per_task rows. All other keys join unsalted.
+    Key columns may be NULL. `count` is dropped from the result.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     salts = (F.floor(F.col(count) / F.lit(rows_per_task)) + 1).cast("int")
     hot = right.filter(F.col(count) > F.lit(rows_per_task)).select(
-        F.col(key).alias("__hot"), salts.alias("__salts")
+        *[F.col(k).alias(f"__hot_{k}") for k in keys], salts.alias("__salts")
     )
-    spread = left.join(F.broadcast(hot), left[key] == F.col("__hot"), "left").withColumn(
+    same_hot, same_key = F.lit(True), F.lit(True)
+    for k in keys:
+        same_hot = same_hot & left[k].eqNullSafe(hot[f"__hot_{k}"])
+    spread = left.join(F.broadcast(hot), same_hot, "left").withColumn(
         "__salt", F.pmod(F.xxhash64(*ident), F.coalesce("__salts", F.lit(1))).cast("int")
     )
-    repeated = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumnRenamed(key, "__key")
-    cond = (spread[key] == repeated["__key"]) & (spread["__salt"] == repeated["__salt"])
-    out = spread.join(repeated, cond, how)
-    return out.drop(spread["__salt"], repeated["__salt"]).drop("__hot", "__salts", "__key", count)
+    repeated = right.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), salts - 1)))
+    for k in keys:
+        repeated = repeated.withColumnRenamed(k, f"__key_{k}")
+        same_key = same_key & spread[k].eqNullSafe(repeated[f"__key_{k}"])
+    out = spread.join(repeated, same_key & (spread["__salt"] == repeated["__salt_r"]), how)
+    return out.drop("__salts", "__salt", "__salt_r", count, *[f"__hot_{k}" for k in keys], *[f"__key_{k}" for k in keys])

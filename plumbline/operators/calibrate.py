@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline import constants as K
 from plumbline.functions.maths import EPS_FIT, EPS_RECORD, binary_nll, clamp, col, logit, sigmoid, softplus, tempered
-from plumbline.functions.ranking import attach
+from plumbline.functions.skew import skew_attach
 from plumbline.operators.metrics import order_statistic
 
 TEMPERATURE_BOUNDS = (0.05, 20.0)
@@ -49,15 +49,15 @@ def fit_temperature_bounded(
     neighbours; three levels of 100 steps narrow 20 to 4e-5. Each level is one
     pass with map-side combine and a state of one row per group.
     """
-    rows = df.select(*keys, col(z).alias("__z"), col(label).alias("__y"))
+    # Copies of one (score, label) are one weighted row, so a hot value is not a hot salt.
+    rows = df.groupBy(*keys, col(z).alias("__z"), col(label).alias("__y")).agg(F.count(F.lit(1)).alias("__w"))
     steps = F.sequence(F.lit(0), F.lit(REFINE_POINTS))
-    state = rows.select(*keys).distinct() if keys else rows.agg(F.count(F.lit(1)).alias("__any")).drop("__any")
-    state = state.select(
-        *keys, F.lit(TEMPERATURE_BOUNDS[0]).alias("__lo"), F.lit(TEMPERATURE_BOUNDS[1]).alias("__hi")
+    state = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).select(
+        *keys, "__rows", F.lit(TEMPERATURE_BOUNDS[0]).alias("__lo"), F.lit(TEMPERATURE_BOUNDS[1]).alias("__hi")
     )
     for _ in range(REFINE_LEVELS):
         if keys:
-            ready = attach(rows, state, keys)
+            ready = skew_attach(rows, state, keys, ["__z", "__y"], "__rows")
         else:
             ready = rows.withColumn("__lo", state.select("__lo").scalar()).withColumn(
                 "__hi", state.select("__hi").scalar()
@@ -66,18 +66,22 @@ def fit_temperature_bounded(
             "t", F.col("__lo") + F.col("i") * (F.col("__hi") - F.col("__lo")) / F.lit(float(REFINE_POINTS))
         )
         per = each.groupBy(*keys, "__lo", "__hi", "i", "t").agg(
-            F.avg(binary_nll("__y", tempered("__z", F.col("t")), eps)).alias("nll")
+            (F.sum(F.col("__w") * binary_nll("__y", tempered("__z", F.col("t")), eps)) / F.sum("__w")).alias("nll"),
+            F.count(F.lit(1)).alias("__rows"),
+        )
+        best = per.groupBy(*keys, "__lo", "__hi").agg(
+            F.min(F.struct("nll", "t")).alias("__b"), F.max("__rows").alias("__rows")
         )
-        best = per.groupBy(*keys, "__lo", "__hi").agg(F.min(F.struct("nll", "t")).alias("__b"))
         step = (F.col("__hi") - F.col("__lo")) / F.lit(float(REFINE_POINTS))
         found = best.select(
             *keys,
+            "__rows",
             F.col("__b.t").alias("temperature"),
             F.col("__b.nll").alias("nll"),
             F.greatest(F.lit(TEMPERATURE_BOUNDS[0]), F.col("__b.t") - step).alias("__lo"),
             F.least(F.lit(TEMPERATURE_BOUNDS[1]), F.col("__b.t") + step).alias("__hi"),
         )
-        state = found.select(*keys, "__lo", "__hi")
+        state = found.select(*keys, "__rows", "__lo", "__hi")
     return found.select(*keys, "temperature", "nll")
 
 

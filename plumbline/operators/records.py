@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import constants as K
 from plumbline.functions.maths import clamp, col
-from plumbline.functions.ranking import attach
+from plumbline.functions.skew import skew_attach
 from plumbline.operators.metrics import score_quantiles
 
 _NUMERIC = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
@@ -309,10 +309,11 @@ def percentile_clip_normalize(
     df: DataFrame, keys: Sequence[str], value: str, lo: float = 0.01, hi: float = 0.99, name: str = "scaled"
 ) -> DataFrame:
     """Clip to each group's percentiles, then min-max to [0, 1]; a flat group divides by 1."""
-    q = score_quantiles(df, keys, value, (lo, hi)).drop("n")
-    lo_c, hi_c = (c for c in q.columns if c not in keys)
-    bounds = q.select(*keys, F.col(lo_c).alias("__lo"), F.col(hi_c).alias("__hi"))
-    out = attach(df, bounds, keys)
+    q = score_quantiles(df, keys, value, (lo, hi))
+    lo_c, hi_c = (c for c in q.columns if c not in (*keys, "n"))
+    bounds = q.select(*keys, F.col(lo_c).alias("__lo"), F.col(hi_c).alias("__hi"), F.col("n").alias("__rows"))
+    ident = [c for c, kind in df.dtypes if not kind.startswith("map")]
+    out = skew_attach(df, bounds, keys, ident, "__rows")
     span = F.when(F.col("__hi") <= F.col("__lo"), F.lit(1.0)).otherwise(F.col("__hi") - F.col("__lo"))
     clipped = F.least(F.greatest(F.col(value), F.col("__lo")), F.col("__lo") + span)
     return out.withColumn(name, (clipped - F.col("__lo")) / span).drop("__lo", "__hi")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumbline.functions.hashing import poisson_weight
 from plumbline.functions.maths import ratio
 from plumbline.functions.ranking import attach, running_totals, value_bucket
+from plumbline.functions.skew import skew_attach
 from plumbline.operators import metrics as M
 from plumbline.operators import splits as S
 
@@ -174,15 +175,18 @@ def recalibrated_operating_point(
     nearest the median (first on ties). Groups under `floor` per class are left out.
     """
     big = df.groupBy(*keys).agg(F.count_if(F.col(label) == 1).alias("__p"), F.count_if(F.col(label) == 0).alias("__q"))
-    big = big.filter((F.col("__p") >= floor) & (F.col("__q") >= floor)).select(*keys)
-    rows = S.recal_splits(attach(df, big, keys), keys, n_splits, cal_frac, label, ident)
+    big = big.filter((F.col("__p") >= floor) & (F.col("__q") >= floor))
+    big = big.select(*keys, (F.col("__p") + F.col("__q")).alias("__rows"))
+    rows = S.recal_splits(skew_attach(df, big, keys, [ident], "__rows"), keys, n_splits, cal_frac, label, ident)
     dims = [*keys, "split"]
     cal = rows.filter("role = 'cal'")
     if method == "roc":
         thr = M.threshold_for_sensitivity_roc(M.roc_steps(cal, dims, score, label), dims, target)
     else:
         thr = M.threshold_for_sensitivity_quantile(cal, dims, score, label, target)
-    ev = attach(rows.filter("role = 'eval'"), thr, dims)
+    held = rows.filter("role = 'eval'")
+    sized = attach(held.groupBy(*dims).agg(F.count(F.lit(1)).alias("__rows")), thr, dims)
+    ev = skew_attach(held, sized, dims, [ident], "__rows")
     hot, pos = F.col(score) >= F.col("threshold"), F.col(label) == 1
     per = ev.groupBy(*dims).agg(
         ratio(F.count_if(hot & pos), F.count_if(pos)).alias("sens"),

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.hashing import unit
-from plumbline.functions.ranking import attach, ranked, running_totals, shuffled_rank, unit_bucket, value_bucket
+from plumbline.functions.ranking import ranked, running_totals, shuffled_rank, unit_bucket, value_bucket
 from plumbline.functions.skew import skew_attach
 
 
@@ -40,7 +40,8 @@ def class_quotas(df: DataFrame, label: str, frac: float, extra: Sequence[str] =
     )
     turn = F.row_number().over(whole.orderBy(F.col("__rest").desc(), F.col(label)))
     short = F.col("__size") - F.sum("__base").over(whole)
-    return parts.select(*extra, label, (F.col("__base") + (turn <= short).cast("bigint")).alias("__quota"))
+    quota = (F.col("__base") + (turn <= short).cast("bigint")).alias("__quota")
+    return parts.select(*extra, label, quota, F.col("__n").alias("__rows"))
 
 
 def stratified_split(
@@ -48,7 +49,7 @@ def stratified_split(
 ) -> DataFrame:
     """Add role 'test' / 'train' with the class shares kept."""
     r = shuffled_rank(df, [label], seed, [ident], "__rn")
-    out = attach(r, class_quotas(df, label, test_frac), [label])
+    out = skew_attach(r, class_quotas(df, label, test_frac), label, [ident], "__rows")
     return out.withColumn("role", F.when(F.col("__rn") <= F.col("__quota"), "test").otherwise("train")).drop(
         "__rn", "__quota"
     )

@@ -9,10 +9,9 @@ import __spark_entry__ as entry
 
 SF_DIR = "/root/testdata/sf0.001"
 SAMPLE = (
-    "locked_metrics", "roc_curve", "verdict_metrics", "calibration_split", "lodo_folds", "nested_doses", "combine_local",
-    "combine_vlm", "conformal_thresholds", "fuse_log_odds", "collapse_annotations", "read_label_csv", "normalize_submission",
-    "validate_engine_result", "alignment_join", "provenance_clusters", "holdout_overlap_audit", "bootstrap_rate_ci",
-    "source_separability", "stratified_fpr", "abstain_audit_by_source", "rasterize_boxes", "iou_topk", "knn", "stream_run_state",
+    "locked_metrics", "calibration_split", "combine_local", "conformal_thresholds", "read_label_csv",
+    "normalize_submission", "exact_dup_join", "bootstrap_rate_ci", "abstain_audit_by_source", "rasterize_boxes", "knn",
+    "stream_run_state",
 )
 
 
