@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import topk, url_filter
+from plumbline.llm import quality_rules, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = pages.select(host.alias("key")).distinct()
     blocked = hosts.filter(F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long") % 8 == 0)
     return url_filter.judge_urls(pages, URL_RULES, blocked).withColumnRenamed("id", "page_id")
+
+
+@register("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language is the stratum: with some hundred labels it is the finest that can be certified."""
+    cases = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("rationale"), "lang")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    out = quality_rules.apply_quality_rules(cases, labels, "lang")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang")
+    return out.select(F.col("id").alias("doc_id"), *names)
