@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import quality_rules, topk, url_filter
+from plumbline.llm import byte_bpe, quality_rules, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def narratives(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """`documents` as cases."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("rationale"), *more)
+
+
 TOP_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
@@ -74,8 +80,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_quality_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language is the stratum: with some hundred labels it is the finest that can be certified."""
-    cases = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("rationale"), "lang")
+    cases = narratives(spark, sf_dir, "lang")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     out = quality_rules.apply_quality_rules(cases, labels, "lang")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang")
     return out.select(F.col("id").alias("doc_id"), *names)
+
+
+@register("op7_byte_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.round_trip(narratives(spark, sf_dir), path, public_tokenizers.PATTERN)
+    return coded.withColumnRenamed("id", "doc_id")
