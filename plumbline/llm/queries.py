@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import byte_bpe, quality_rules, topk, url_filter
+from plumbline.llm import byte_bpe, quality_rules, sharding, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = byte_bpe.round_trip(narratives(spark, sf_dir), path, public_tokenizers.PATTERN)
     return coded.withColumnRenamed("id", "doc_id")
+
+
+OLD_SHARDS, NEW_SHARDS = 6, 8
+
+
+@register("op1_reshard")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old layout kept every source in one of six shards, so its sizes are uneven."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    old = F.pmod(F.crc32(F.encode(F.coalesce("source", F.lit("")), "UTF-8")), F.lit(OLD_SHARDS)).cast("int")
+    size, crc = (F.octet_length(text) + F.lit(1)).cast("long"), F.crc32(F.encode(text, "UTF-8"))
+    cases = docs.select(F.col("doc_id").alias("id"), old.alias("shard"), size.alias("size"), crc.alias("text_crc32"))
+    placed = sharding.reshard_cases(cases, NEW_SHARDS, carry=("text_crc32",))
+    fixed = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", "shard", "slot", *fixed, "old_shard", "moved")
