@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 #: Words this long (bytes) are merged with a heap: one contraction per round costs their length squared.
 LONG_WORD = 256
 WORDS_PER_QUERY = 20_000
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_500_000
 #: Texts are taken together up to this many characters; a longer one is taken alone and whole.
 CHARS_PER_STEP = 2_000_000
 MEMORY = "256MB"
