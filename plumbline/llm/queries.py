@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import byte_bpe, quality_rules, sharding, topk, url_filter
+from plumbline.llm import byte_bpe, packing, quality_rules, sharding, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.reshard_cases(cases, NEW_SHARDS, carry=("text_crc32",))
     fixed = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", "shard", "slot", *fixed, "old_shard", "moved")
+
+
+@register("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_cases(narratives(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
