@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import byte_bpe, packing, quality_rules, sharding, topk, url_filter
+from plumbline.llm import byte_bpe, packing, quality_rules, sharding, topk, unit_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,21 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_cases(narratives(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return packed.withColumnRenamed("id", "doc_id")
+
+
+UNIT_SQL = r"""WITH cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]) ', E'\\1\n', 'g'), E'\n') AS u FROM documents),
+units AS (SELECT doc_id, unnest(u) AS unit, generate_subscripts(u, 1) AS i FROM cut),
+placed AS (SELECT doc_id, unit, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY i
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM units),
+plain AS (SELECT doc_id, start, start + length(unit) AS "end", trim(regexp_replace(translate(unit,
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS n FROM placed),
+met AS (SELECT doc_id, start, "end", first_value(doc_id) OVER w AS first_doc_id, first_value(start) OVER w AS first_start
+  FROM plain WHERE len(string_split(n, ' ')) >= 8 WINDOW w AS (PARTITION BY n ORDER BY doc_id, start))
+SELECT * FROM met WHERE doc_id <> first_doc_id OR start <> first_start"""
+
+
+@register("op5_unit_dedup", UNIT_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that repeat an earlier document's (or the document's own earlier) line or sentence."""
+    spans = unit_dedup.repeated_units(narratives(spark, sf_dir))
+    return spans.withColumnsRenamed({"id": "doc_id", "first_id": "first_doc_id"})
