@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import byte_bpe, packing, quality_rules, sharding, topk, unit_dedup, url_filter
+from plumbline.llm import byte_bpe, packing, quality_classifier, quality_rules, sharding, topk, unit_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,11 @@ def narratives(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("rationale"), *more)
 
 
+def id_crc(name: str) -> Column:
+    """CRC32 of an id as decimal text, by which rows are held out."""
+    return F.crc32(F.col(name).cast("string").cast("binary"))
+
+
 TOP_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
@@ -132,3 +137,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans that repeat an earlier document's (or the document's own earlier) line or sentence."""
     spans = unit_dedup.repeated_units(narratives(spark, sf_dir))
     return spans.withColumnsRenamed({"id": "doc_id", "first_id": "first_doc_id"})
+
+
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels to learn quality from: every row that is not held out."""
+    labels = table(spark, sf_dir, "labels").filter(id_crc("doc_id") % 3 != 1)
+    return labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+
+
+@register("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.score_cases(narratives(spark, sf_dir), quality_labels(spark, sf_dir))
+    held_out = F.coalesce(id_crc("id") % 3 == 1, F.lit(False))
+    return scored.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")
