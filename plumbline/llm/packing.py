@@ -25,8 +25,9 @@ GAP = 5e-4
 
 PIECES = "start long, length int, ids_crc32 long, doc_tokens long"
 
-#: Words that are letters of Latin-1 and then closing marks are encoded as two words, which they are to the tokenizer.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]+)")
+#: Letters of Latin-1 and closing marks behind them are two words to the tokenizer.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+WORDS_PER_LINE = 2_000
 #: str.split() takes these for white space, the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -41,24 +42,48 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
-
-    def _plain(self, words: list[str]) -> None:
-        for word, coded in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(coded.ids, np.uint32).tobytes()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _letters(self, stems: list[str]) -> None:
+        """Words of letters alone, many to a line: each is cut off behind its token that ends a word."""
+        lines = [" ".join(stems[i : i + WORDS_PER_LINE]) for i in range(0, len(stems), WORDS_PER_LINE)]
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stop) != len(stems):
+            raise ValueError("the tokenizer does not end every word with </w>")
+        raw, since = ids.tobytes(), 0
+        for stem, to in zip(stems, stop.tolist(), strict=True):
+            self.words[stem] = raw[since:to]
+            since = to
 
     def learn(self, words: set[str]) -> None:
-        parts = {w: m.groups() for w in words if (m := _PLAIN.fullmatch(w))}
-        direct = {w for w in words if w not in parts} | {p for pair in parts.values() for p in pair}
-        self._plain([w for w in direct if w not in self.words])
-        for word, (stem, marks) in parts.items():
-            self.words[word] = self.words[stem] + self.words[marks]
+        marked, stems, others = [], set(), set()
+        for word in words:
+            if m := _PLAIN.fullmatch(word):
+                stem, marks = m.groups()
+                stem = stem.lower()
+                stems.add(stem)
+                if marks:
+                    others.add(marks)
+                marked.append((word, stem, marks))
+            else:
+                others.add(word)
+        if stems := list(stems.difference(self.words)):
+            self._letters(stems)
+        others = list(others.difference(self.words))
+        for word, coded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.words[word] = np.array(coded.ids, np.uint32).tobytes()
+        for word, stem, marks in marked:
+            self.words[word] = self.words[stem] + self.words[marks] if marks else self.words[stem]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cut = [None if _SEPARATORS.search(t) else t.split() for t in texts]
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        self.learn({w for words in cut if words for w in words if w not in self.words})
+        self.learn(set().union(*filter(None, cut)).difference(self.words))
         get = self.words.__getitem__
         out = []
         for text, words in zip(texts, cut, strict=True):
