@@ -138,8 +138,7 @@ class Codec:
         cut = [self.pattern.findall(t) for t in texts]
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        new = {w for words in cut for w in words if w not in self.words}
-        self.learn(list(new))
+        self.learn(list(set().union(*cut).difference(self.words)))
         out = []
         for words in cut:
             ids = b"".join(map(self.words.__getitem__, words))

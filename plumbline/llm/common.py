@@ -18,7 +18,7 @@ __all__ = ["SPACES", "gapless_rank", "settle", "spread_count", "words_of"]
 #: ASCII white space, as one Java character class.
 SPACES = r"[\x20\x09-\x0D]+"
 
-ROWS_PER_BUCKET = 5_000
+ROWS_PER_BUCKET = 1_000
 MAX_BUCKETS = 4_096
 
 
@@ -28,7 +28,7 @@ def words_of(text: Column) -> Column:
 
 
 def spread_count(rows: int) -> int:
-    """Buckets that keep the largest key of `rows` rows at some thousands of rows each."""
+    """Buckets that keep the largest key of `rows` rows at about a thousand rows each."""
     return max(1, min(MAX_BUCKETS, rows // ROWS_PER_BUCKET))
 
 
