@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import byte_bpe, packing, quality_classifier, quality_rules, sharding, topk, unit_dedup, url_filter
+from plumbline.llm import byte_bpe, language_id, ngram_join, packing, quality_classifier, quality_rules, sharding, topk, unit_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_classifier.score_cases(narratives(spark, sf_dir), quality_labels(spark, sf_dir))
     held_out = F.coalesce(id_crc("id") % 3 == 1, F.lit(False))
     return scored.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")
+
+
+@register("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = narratives(spark, sf_dir, "lang")
+    held_out = F.coalesce(id_crc("id") % 5 == 0, F.lit(False))
+    said = language_id.identify_language(cases, cases.filter(id_crc("id") % 5 != 0))
+    return said.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
+
+
+@register("op2_ngram_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = ngram_join.link_cases(narratives(spark, sf_dir), 3, 90)
+    return linked.withColumnRenamed("id", "doc_id")
