@@ -101,13 +101,18 @@ class Ftrl:
 
 
 def best_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the least negative log likelihood, by golden-section search on its logarithm."""
-    if not len(labels):
+    """The temperature with the least cross entropy, by golden-section search on its logarithm.
+
+    A label counts as (n + 1) / (n + 2) of n rows, so that a faultless sample does not make every answer certain.
+    """
+    n, k = logits.shape
+    if n == 0 or k < 2:
         return 1.0
+    target = np.full((n, k), 1 / (n + 2) / (k - 1))
+    target[np.arange(n), labels] = (n + 1) / (n + 2)
 
     def loss(t: float) -> float:
-        p = softmax(logits / np.exp(t))[np.arange(len(labels)), labels]
-        return -float(np.log(np.maximum(p, 1e-12)).mean())
+        return -float((target * np.log(np.maximum(softmax(logits / np.exp(t)), 1e-300))).sum(axis=1).mean())
 
     lo, hi, ratio = np.log(0.02), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(50):
