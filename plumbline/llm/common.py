@@ -7,13 +7,15 @@ only the columns it names, so further columns of a table never clash.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline.session import settle
 
-__all__ = ["SPACES", "gapless_rank", "settle", "spread_count", "words_of"]
+__all__ = ["SPACES", "gapless_rank", "settle", "shared_folder", "spread_count", "words_of"]
 
 #: ASCII white space, as one Java character class.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -27,6 +29,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != F.lit(""))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for intermediate tables under the one the cluster names in spark.checkpoint.dir."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        named = tempfile.mkdtemp(prefix="run-")
+    return f"{named.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
 def spread_count(rows: int) -> int:
     """Buckets that keep the largest key of `rows` rows at about a thousand rows each."""
     return max(1, min(MAX_BUCKETS, rows // ROWS_PER_BUCKET))

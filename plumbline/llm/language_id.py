@@ -155,6 +155,15 @@ class Identifier:
     temperature: float
     idf: np.ndarray
 
+    def say(self, text: str | None) -> tuple[str, float]:
+        """The likeliest language of a whole text and its probability."""
+        if not self.languages or not has_letter(text):
+            return UNKNOWN, 0.0
+        at, values = weighted(grams(text), self.idf)
+        p = softmax((self.weights[:, at] @ values + self.weights[:, FEATURES]) / self.temperature)
+        best = int(np.argmax(p))
+        return self.languages[best], float(p[best])
+
 
 def fit_identifier(labelled: DataFrame, idf: np.ndarray) -> Identifier:
     """Fit on rows (id, rationale, lang), lang not null.
@@ -188,15 +197,7 @@ def fit_identifier(labelled: DataFrame, idf: np.ndarray) -> Identifier:
 def _predict(model: Identifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said, score = [], []
-            for text in batch.column("rationale").to_pylist():
-                if not model.languages or not has_letter(text):
-                    said.append(UNKNOWN), score.append(0.0)
-                    continue
-                at, values = weighted(grams(text), model.idf)
-                p = softmax((model.weights[:, at] @ values + model.weights[:, FEATURES]) / model.temperature)
-                best = int(np.argmax(p))
-                said.append(model.languages[best]), score.append(float(p[best]))
+            said, score = zip(*map(model.say, batch.column("rationale").to_pylist()), strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(said, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
     return run
@@ -216,3 +217,18 @@ def identify_language(cases: DataFrame, labelled: DataFrame) -> DataFrame:
     model = fit_identifier(labelled.select("id", "rationale", "lang"), inverse_document_frequency(cases))
     kind = cases.schema["id"].dataType.simpleString()
     return cases.select("id", "rationale").mapInArrow(_predict(model), f"id {kind}, lang_pred string, score double")
+
+
+def _keep(model: Identifier, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [model.say(t) for t in batch.column("rationale").to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in said], pa.bool_()))
+
+    return run
+
+
+def keep_known_languages(cases: DataFrame, labelled: DataFrame, least: float = 0.5) -> DataFrame:
+    """The cases whose language is told with a score of at least `least`, with all their columns. Learns as `identify_language`."""
+    model = fit_identifier(labelled.select("id", "rationale", "lang"), inverse_document_frequency(cases))
+    return cases.mapInArrow(_keep(model, least), cases.schema)

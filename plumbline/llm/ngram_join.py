@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.llm.common import settle
 from plumbline.llm.components import connected_components
@@ -285,3 +285,16 @@ def link_cases(cases: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     out = measured.select("id", "n", "key").join(copies, "key", "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")))
     out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id"))
+
+
+def one_of_each(cases: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The case with the least id of every component, with all its columns; of rows that share that id one stays.
+
+    Cases without an id cannot be told apart afterwards: all of them stay.
+    """
+    linked = link_cases(cases, size, percent)
+    first = linked.filter("id = component_id").select(F.col("id").alias("__id")).distinct()
+    by_id = Window.partitionBy("id").orderBy(F.xxhash64("rationale"))
+    chosen = cases.filter("id is not null").join(first, F.col("id") == F.col("__id"), "left_semi")
+    chosen = chosen.withColumn("__row", F.row_number().over(by_id)).filter("__row = 1").drop("__row")
+    return chosen.unionByName(cases.filter("id is null"))

@@ -190,3 +190,21 @@ def score_cases(cases: DataFrame, labels: DataFrame) -> DataFrame:
     kind = cases.schema["id"].dataType.simpleString()
     scored = vectors.mapInArrow(_score(model), f"id {kind}, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def _keep(model: Discriminant, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([text_statistics(t) for t in batch.column("rationale").to_pylist()]).reshape(-1, len(STATISTICS))
+            yield batch.filter(pa.array(model.scores(x) >= threshold))
+
+    return run
+
+
+def keep_good_cases(cases: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The cases with a score of at least `threshold`, with all their columns. Learns as `score_cases`.
+
+    Texts are measured twice, to learn and to decide, and so never leave their task.
+    """
+    model = fit_discriminant(case_vectors(cases).join(labels.select("id", "label"), "id"))
+    return cases.mapInArrow(_keep(model, threshold), cases.schema)
