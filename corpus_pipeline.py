@@ -1,3 +1,70 @@
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""From raw documents to packed training sequences: quality, language, near duplicates, repeated passages, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet in the
+cluster's shared folder and read again by the next one, so a lost executor costs one stage's tasks at
+most. All but the last stage return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from plumbline.llm import language_id, ngram_join, packing, quality_classifier, unit_dedup
+from plumbline.llm.common import shared_folder
+from plumbline.llm.queries import id_crc, quality_labels
+
+#: Documents as the cases the operators take, and back.
+AS_CASES = {"doc_id": "id", "text": "rationale"}
+AS_DOCS = {"id": "doc_id", "rationale": "text"}
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier takes for good ones."""
+    kept = quality_classifier.keep_good_cases(docs.withColumnsRenamed(AS_CASES), quality_labels(spark, sf_dir))
+    return kept.withColumnsRenamed(AS_DOCS)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a probability of at least a half."""
+    cases = docs.withColumnsRenamed(AS_CASES)
+    kept = language_id.keep_known_languages(cases, cases.filter(id_crc("id") % 5 != 0))
+    return kept.withColumnsRenamed(AS_DOCS)
+
+
+def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of every group of near copies: five words, similarity 0.8."""
+    return ngram_join.one_of_each(docs.withColumnsRenamed(AS_CASES), 5, 80).withColumnsRenamed(AS_DOCS)
+
+
+def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines and sentences that an earlier document has; n_chars follows the text."""
+    out = unit_dedup.drop_repeated_units(docs.withColumnsRenamed(AS_CASES)).drop("removed")
+    return out.withColumnsRenamed(AS_DOCS).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    pieces = packing.pack_cases(docs.withColumnsRenamed(AS_CASES), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("language ID", known_language),
+    ("n-gram Jaccard join", no_near_duplicates),
+    ("substring dedup", no_repeated_passages),
+    ("packing", packed),
+]
+
+#: Trained models and tokenizers have no SQL; tests/llm compares the rows with a plain version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark)
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+    return STAGES[-1][1](spark, docs, sf_dir)
