@@ -6,19 +6,23 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from plumbline.llm.word_ids import WordCache, text_slices
+
 #: Words this long (bytes) are merged with a heap: one contraction per round costs their length squared.
 LONG_WORD = 256
 WORDS_PER_QUERY = 20_000
-CACHED_WORDS = 1_500_000
-#: Texts are taken together up to this many characters; a longer one is taken alone and whole.
-CHARS_PER_STEP = 2_000_000
+CACHED_WORDS = 700_000
+#: Texts are taken together up to this many bytes; a longer one is taken alone and whole.
+BYTES_PER_STEP = 6_000_000
 MEMORY = "256MB"
 
 #: start(word, pos, tok) holds a row per token position, at first one per byte. Each step finds every word's
@@ -91,8 +95,7 @@ class Codec:
 
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
-        self.words: dict[str, bytes] = {}
-        self.decimal = [str(i) for i in range(len(self.ranks))]
+        self.cache = WordCache(self.learn, CACHED_WORDS)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY})
         left, right, whole = (pa.array(x, pa.int32()) for x in merge_pairs(self.ranks))
@@ -103,57 +106,43 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def learn(self, words: list[str]) -> None:
-        """Encode distinct words: a recursive query for each WORDS_PER_QUERY of them."""
-        for at in range(0, len(words), WORDS_PER_QUERY):
-            some = words[at : at + WORDS_PER_QUERY]
-            raw = [w.encode() for w in some]
-            short = [i for i, b in enumerate(raw) if len(b) < LONG_WORD]
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words: a recursive query for each WORDS_PER_QUERY of them."""
+        out = [b""] * len(words)
+        for first in range(0, len(words), WORDS_PER_QUERY):
+            raw = [w.encode() for w in words[first : first + WORDS_PER_QUERY]]
             for i in (i for i, b in enumerate(raw) if len(b) >= LONG_WORD):
-                self._keep(some[i], np.array(merge_long(raw[i], self.ranks), np.int32))
-            if not short:
+                out[first + i] = np.array(merge_long(raw[i], self.ranks), np.int32).tobytes()
+            short = np.array([i for i, b in enumerate(raw) if len(b) < LONG_WORD], np.int32)
+            if not len(short):
                 continue
             lens = np.array([len(raw[i]) for i in short])
-            first = np.cumsum(lens) - lens
-            start = pa.table(
-                {
-                    "word": pa.array(np.repeat(np.array(short, np.int32), lens)),
-                    "pos": pa.array((np.arange(lens.sum()) - np.repeat(first, lens)).astype(np.int32)),
-                    "tok": pa.array(self.byte_ids[np.frombuffer(b"".join(raw[i] for i in short), np.uint8)]),
-                }
-            )
+            pos = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+            tok = self.byte_ids[np.frombuffer(b"".join(raw[i] for i in short), np.uint8)]
+            start = pa.table({"word": pa.array(np.repeat(short, lens)), "pos": pa.array(pos.astype(np.int32)), "tok": pa.array(tok)})
             self.db.register("start", start)
             got = self.db.sql(ENCODE).to_arrow_table().combine_chunks()
             self.db.unregister("start")
             ids = got.column("ids").combine_chunks()
-            flat, off = ids.values.to_numpy(), ids.offsets.to_numpy()
-            for j, i in enumerate(got.column("word").to_pylist()):
-                self._keep(some[i], flat[off[j] : off[j + 1]])
-
-    def _keep(self, word: str, ids: np.ndarray) -> None:
-        self.words[word] = ids.astype(np.int32).tobytes()
-
-    def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """Ids of each text, as decimal text and as little-endian bytes."""
-        cut = [self.pattern.findall(t) for t in texts]
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        self.learn(list(set().union(*cut).difference(self.words)))
-        out = []
-        for words in cut:
-            ids = b"".join(map(self.words.__getitem__, words))
-            out.append((",".join(map(self.decimal.__getitem__, np.frombuffer(ids, np.int32).tolist())), ids))
+            flat, off = ids.values.to_numpy().astype(np.int32).tobytes(), (4 * ids.offsets.to_numpy()).tolist()
+            for word, a, b in zip(got.column("word").to_pylist(), off, off[1:], strict=False):
+                out[first + word] = flat[a:b]
         return out
 
-    def decode(self, ids: list[bytes]) -> list[bytes]:
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each begins and the last ends."""
+        cut = [self.pattern.findall(t) for t in texts.to_pylist()]
+        return self.cache.ids(pa.array(chain.from_iterable(cut), pa.string()), np.array([len(w) for w in cut], np.int64))
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The bytes of each id sequence: ids join the vocabulary and are strung together by position."""
-        out = [b""] * len(ids)
-        lens = np.array([len(x) // 4 for x in ids], np.int64)
+        lens = np.diff(ends)
+        out = [b""] * len(lens)
         tokens = pa.table(
             {
-                "doc": pa.array(np.repeat(np.arange(len(ids), dtype=np.int32), lens)),
-                "pos": pa.array((np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)),
-                "tok": pa.array(np.frombuffer(b"".join(ids), np.int32)),
+                "doc": pa.array(np.repeat(np.arange(len(lens), dtype=np.int32), lens)),
+                "pos": pa.array((np.arange(len(ids)) - np.repeat(ends[:-1], lens)).astype(np.int32)),
+                "tok": pa.array(ids.astype(np.int32)),
             }
         )
         self.db.register("tokens", tokens)
@@ -166,28 +155,23 @@ class Codec:
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
-def _steps(texts: list[str]) -> Iterator[list[str]]:
-    some, size = [], 0
-    for text in texts:
-        if some and size + len(text) > CHARS_PER_STEP:
-            yield some
-            some, size = [], 0
-        some.append(text)
-        size += len(text)
-    if some:
-        yield some
+def _codec(path: str, pattern: str) -> Codec:
+    if (path, pattern) not in _codecs:
+        _codecs[path, pattern] = Codec(path, pattern)
+    return _codecs[path, pattern]
 
 
 def _round_trip(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codecs.get((path, pattern)) or _codecs.setdefault((path, pattern), Codec(path, pattern))
+        codec = _codec(path, pattern)
         for batch in batches:
             n, hashes, back = [], [], []
-            for texts in _steps(["" if t is None else t for t in batch.column("rationale").to_pylist()]):
-                coded = codec.encode(texts)
-                n += [len(ids) // 4 for _, ids in coded]
-                hashes += [hashlib.sha256(decimal.encode()).hexdigest() for decimal, _ in coded]
-                back += [hashlib.sha256(x).hexdigest() for x in codec.decode([ids for _, ids in coded])]
+            for _, texts in text_slices(batch.column("rationale").fill_null(""), BYTES_PER_STEP):
+                ids, ends = codec.encode(texts)
+                n += np.diff(ends).tolist()
+                decimal = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids).cast(pa.string()))
+                hashes += [hashlib.sha256(x.as_buffer()).hexdigest() for x in pc.binary_join(decimal, ",")]
+                back += [hashlib.sha256(x).hexdigest() for x in codec.decode(ids, ends)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -198,22 +182,26 @@ def _round_trip(path: str, pattern: str):
 
 def _tokens(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codecs.get((path, pattern)) or _codecs.setdefault((path, pattern), Codec(path, pattern))
+        codec = _codec(path, pattern)
         for batch in batches:
-            lists: list[np.ndarray] = []
-            for texts in _steps(["" if t is None else t for t in batch.column("rationale").to_pylist()]):
-                lists += [np.frombuffer(ids, np.int32) for _, ids in codec.encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lists, pa.list_(pa.int32()))], ["id", "ids"])
+            lists = []
+            for _, texts in text_slices(batch.column("rationale").fill_null(""), BYTES_PER_STEP):
+                ids, ends = codec.encode(texts)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids).cast(pa.int32())))
+            whole = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), whole], ["id", "ids"])
 
     return run
 
 
 def _texts(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codecs.get((path, pattern)) or _codecs.setdefault((path, pattern), Codec(path, pattern))
+        codec = _codec(path, pattern)
         for batch in batches:
-            ids = [np.array(x or [], np.int32).tobytes() for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codec.decode(ids), pa.binary())], ["id", "rationale"])
+            lists = batch.column("ids")
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+            texts = codec.decode(lists.flatten().to_numpy(), ends)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary())], ["id", "rationale"])
 
     return run
 

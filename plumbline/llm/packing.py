@@ -9,16 +9,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.llm.common import gapless_rank, settle, spread_count
+from plumbline.llm.word_ids import WordCache, text_slices
 
 LENGTH = 2_048
 #: Lengths are planned in steps of so many tokens; a pattern always holds the true lengths.
 UNIT = 8
 END_ID = 1
-CACHED_WORDS = 500_000
-CHARS_PER_STEP = 2_000_000
+CACHED_WORDS = 700_000
+BYTES_PER_STEP = 6_000_000
 MAX_PIVOTS = 5_000
 #: The linear solution is within this share of the best one: its value over the best pattern's is a lower bound.
 GAP = 5e-4
@@ -28,12 +30,10 @@ PIECES = "start long, length int, ids_crc32 long, doc_tokens long"
 #: Letters of Latin-1 and closing marks behind them are two words to the tokenizer.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 WORDS_PER_LINE = 2_000
-#: str.split() takes these for white space, the tokenizer does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class WordIds:
-    """Ids of texts by a tokenizer whose words never cross white space: each distinct word is encoded once while kept."""
+    """Ids of texts by a tokenizer whose words never cross white space."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,58 +41,35 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        self.cache = WordCache(self.learn, CACHED_WORDS)
 
-    def _letters(self, stems: list[str]) -> None:
+    def _letters(self, stems: list[str]) -> dict[str, bytes]:
         """Words of letters alone, many to a line: each is cut off behind its token that ends a word."""
         lines = [" ".join(stems[i : i + WORDS_PER_LINE]) for i in range(0, len(stems), WORDS_PER_LINE)]
-        ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
-        stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(stop) != len(stems):
+        coded = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *coded])
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) != len(stems):
             raise ValueError("the tokenizer does not end every word with </w>")
-        raw, since = ids.tobytes(), 0
-        for stem, to in zip(stems, stop.tolist(), strict=True):
-            self.words[stem] = raw[since:to]
-            since = to
-
-    def learn(self, words: set[str]) -> None:
-        marked, stems, others = [], set(), set()
-        for word in words:
-            if m := _PLAIN.fullmatch(word):
-                stem, marks = m.groups()
-                stem = stem.lower()
-                stems.add(stem)
-                if marks:
-                    others.add(marks)
-                marked.append((word, stem, marks))
-            else:
-                others.add(word)
-        if stems := list(stems.difference(self.words)):
-            self._letters(stems)
-        others = list(others.difference(self.words))
-        for word, coded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(coded.ids, np.uint32).tobytes()
-        for word, stem, marks in marked:
-            self.words[word] = self.words[stem] + self.words[marks] if marks else self.words[stem]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut = [None if _SEPARATORS.search(t) else t.split() for t in texts]
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        self.learn(set().union(*filter(None, cut)).difference(self.words))
-        get = self.words.__getitem__
-        out = []
-        for text, words in zip(texts, cut, strict=True):
-            if words is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.array(ids, np.uint32).tobytes())
-            else:
-                out.append(b"".join(map(get, words)))
-        return out
+        raw, starts = ids.tobytes(), np.concatenate([[0], stops[:-1]])
+        return {w: raw[a:b] for w, a, b in zip(stems, starts.tolist(), stops.tolist(), strict=True)}
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        plain = [_PLAIN.fullmatch(w) for w in words]
+        stems = [m and m[1].lower() for m in plain]
+        letters = self._letters(list(set(filter(None, stems))))
+        rest = list({w if m is None else m[2] for w, m in zip(words, plain, strict=True)} - {""})
+        coded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        others = {w: np.array(x.ids, np.uint32).tobytes() for w, x in zip(rest, coded, strict=True)} | {"": b""}
+        return [others[w] if m is None else letters[stem] + others[m[2]] for w, m, stem in zip(words, plain, stems, strict=True)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each begins and the last ends."""
+        cut = pc.ascii_split_whitespace(texts)
+        return self.cache.ids(cut.flatten(), pc.list_value_length(cut).to_numpy())
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -119,21 +96,17 @@ def _cut(path: str, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _tokenizers.get(path) or _tokenizers.setdefault(path, WordIds(path))
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("rationale").to_pylist()]
+            texts = batch.column("rationale").fill_null("")
             row, start, size, crc, whole = [], [], [], [], []
-            at = 0
-            while at < len(texts):
-                upto, chars = at, 0
-                while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= CHARS_PER_STEP):
-                    chars += len(texts[upto])
-                    upto += 1
-                for i, ids in enumerate(words.encode(texts[at:upto]), at):
-                    ids += end
-                    n = len(ids) // 4
+            for at, some in text_slices(texts, BYTES_PER_STEP):
+                ids, ends = words.encode(some)
+                raw, ends = memoryview(ids.tobytes()), ends.tolist()
+                for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False), at):
+                    n = b - a + 1
                     for s, e in cuts(n, length):
-                        piece = ids[4 * s : 4 * e]
-                        row.append(i), start.append(s), size.append(e - s), crc.append(zlib.crc32(piece)), whole.append(n)
-                at = upto
+                        piece = raw[4 * (a + s) : 4 * min(a + e, b)]
+                        code = zlib.crc32(piece) if e < n else zlib.crc32(end, zlib.crc32(piece))
+                        row.append(i), start.append(s), size.append(e - s), crc.append(code), whole.append(n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(row, pa.int32())), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(crc, pa.int64()), pa.array(whole, pa.int64())],
                 ["id", "start", "length", "ids_crc32", "doc_tokens"],
