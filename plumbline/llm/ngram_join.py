@@ -15,12 +15,17 @@ from plumbline.llm.common import settle
 from plumbline.llm.components import connected_components
 
 SHINGLE, PERCENT = 5, 80
-#: N-grams known as frequent sort last, so that prefixes hold rare ones. The number only steers the order, never the result.
+#: N-grams known as frequent are counted as shared at once and never shuffled. The number never changes a result.
 FREQUENT = 1 << 16
 COUNT_BLOCK = 4_000_000
 #: A block of a neighbourhood: so many cases, or so many n-grams, and a little more.
 BLOCK_CASES, BLOCK_GRAMS = 256, 500_000
 CACHED_WORDS = 400_000
+#: Sets up to this size are looked up by all their n-grams.
+SMALL = 128
+_VIEW = np.array([0, 0, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
+#: Bits of the filter that keeps most other cases from being read twice; a full one only lets more through.
+FILTER_BITS = 1 << 27
 #: Weight of a binary probe against a step of the heap, as DivideSkip has it.
 PROBE = 0.01
 
@@ -58,9 +63,31 @@ def least_overlap(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """So many of the first n-grams in any fixed order meet those of every set it can be linked to."""
-    return n - -(-percent * n // 100) + 1
+def most_missing(n: int, percent: int) -> int:
+    """The most n-grams of a set of n that a set linked to it can lack."""
+    return n - -(-percent * n // 100)
+
+
+def views(grams: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """(view, keys) under which a set is looked up; keys of different views never meet.
+
+    Up to SMALL n-grams a set is looked up by all of them (view 1), above by those whose digest falls in a fixed share of
+    all digests (view 2), twice what a linked set can lack. Sets a little over SMALL are in both views, so
+    two sets that can be linked have a view in common. A large set with no more keys than it
+    can lack is also looked up by all its n-grams (view 3). So of two linked sets
+    at least one has, in a common view, more keys than it can lack, and they share a key.
+    """
+    n, out = len(grams), []
+    if n == 0:
+        return out
+    if 100 * SMALL >= percent * n:
+        out.append((1, grams))
+    if n > SMALL:
+        few = grams[(grams % np.uint64(100)) < np.uint64(2 * (100 - percent))] if percent > 50 else grams
+        out.append((2, few ^ _VIEW[2]))
+        if len(few) <= most_missing(n, percent):
+            out.append((3, grams ^ _VIEW[3]))
+    return out
 
 
 def _frequent(size: int):
@@ -86,41 +113,120 @@ def _frequent(size: int):
 
 
 def frequent_ngrams(cases: DataFrame, size: int) -> np.ndarray:
-    """Digests of the n-grams that tasks met most often, the most frequent last: at most FREQUENT."""
+    """Sorted digests of the n-grams that tasks met most often: at most FREQUENT."""
     counts = cases.select("rationale").mapInArrow(_frequent(size), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()
-    return np.array([r["gram"] for r in reversed(top)], np.int64).view(np.uint64)
+    return np.sort(np.array([r["gram"] for r in top], np.int64).view(np.uint64))
+
+
+def set_key(grams: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(grams.tobytes())
+
+
+def _class_number(grams: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(grams.tobytes()) >> 1
+
+
+def _measure(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, keys, numbers = [], [], []
+            for text in batch.column("rationale").to_pylist():
+                grams = ngram_set(text, size)
+                n.append(len(grams)), keys.append(set_key(grams)), numbers.append(_class_number(grams))
+            arrays = [batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(numbers, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "key", "class"])
+
+    return run
 
 
-def _sets(size: int, percent: int, frequent: np.ndarray):
-    by_gram = np.argsort(frequent)
-    known = frequent[by_gram]
+def _keys(size: int, percent: int, frequent: np.ndarray):
+    """(class, view, key) of every set's keys that are not frequent; each view also has a row without a key
+    that says how many of them have to be shared for the set to have any link.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, prefixes = [], [], []
+            number, view, key, need = [], [], [], []
+            done = set()  # equal sets of a batch give equal rows
             for text in batch.column("rationale").to_pylist():
                 grams = ngram_set(text, size)
-                n.append(len(grams))
-                keys.append(xxhash.xxh3_128_digest(grams.tobytes()))
-                if len(grams):
-                    at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
-                    place = np.where(known[at] == grams, by_gram[at] + 1, 0) if len(known) else np.zeros(len(grams), np.int64)
-                    first = np.argsort(place, kind="stable")[: prefix_length(len(grams), percent)]
-                    grams = grams[first]
-                prefixes.append(grams.view(np.int64))
-            lists = pa.array(prefixes, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists], ["id", "n", "key", "prefix"])
+                own = _class_number(grams)
+                if own in done:
+                    continue
+                done.add(own)
+                for v, keys in views(grams, percent):
+                    plain = keys ^ _VIEW[v]
+                    rare = keys[frequent[np.minimum(np.searchsorted(frequent, plain), len(frequent) - 1)] != plain] if len(frequent) else keys
+                    number.append(np.full(len(rare) + 1, own, np.int64))
+                    view.append(np.full(len(rare) + 1, v, np.int8))
+                    key.append(np.append(rare.view(np.int64), 0))
+                    # of the keys that are left, those that must be shared
+                    most = np.zeros(len(rare) + 1, np.int64)
+                    most[-1] = len(rare) - most_missing(len(grams), percent)
+                    need.append(most)
+            if number:
+                number, view, key, need = map(np.concatenate, (number, view, key, need))
+                last = np.concatenate([number[1:] != number[:-1], [True]]) | np.concatenate([view[1:] != view[:-1], [True]])
+                keys = pa.array(key, mask=last)
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(view), keys, pa.array(need, mask=~last)], ["class", "view", "key", "need"])
 
     return run
 
 
-def _whole_sets(size: int):
+def _whole_sets(size: int, bits: np.ndarray):
+    """Sets of the cases that the filter lets through; the text of the others is not looked at."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column("id").fill_null(-1).to_numpy()
+            at = filter_places(ids)
+            batch = batch.filter(pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
             sets = [ngram_set(t, size) for t in batch.column("rationale").to_pylist()]
             n, raw = pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("unit"), n, raw], ["id", "unit", "n", "grams"])
+            keys = pa.array([set_key(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), n, keys, raw], ["id", "n", "key", "grams"])
+
+    return run
+
+
+def filter_places(ids: np.ndarray) -> np.ndarray:
+    """The bit of each id in a filter of FILTER_BITS."""
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) % FILTER_BITS
+
+
+def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for batch in batches:
+        at = filter_places(batch.column("id").to_numpy())
+        np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    words = bits.view(np.int64)
+    at = np.flatnonzero(words)
+    yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "word": words[at]})
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, those of the given ids set: of a fixed size, so that it may go to every task."""
+    words = ids.select("id").mapInArrow(_filter_words, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for part in words.toArrow().to_batches():
+        out[part.column("at").to_numpy()] = part.column("word").to_numpy()
+    return out.view(np.uint8)
+
+
+def _view_keys(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, number, view, key, most = batch.column("id").to_pylist(), [], [], [], []
+            for i, raw in zip(ids, batch.column("grams").to_pylist(), strict=True):
+                grams = np.frombuffer(raw, np.uint64)
+                for v, keys in views(grams, percent):
+                    number.append(np.full(len(keys), i, np.int64))
+                    view.append(np.full(len(keys), v, np.int8))
+                    key.append(keys.view(np.int64))
+                    most.append(np.full(len(keys), most_missing(len(grams), percent) + 1, np.int32))
+            if number:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (number, view, key, most)], ["id", "view", "key", "prefix"])
 
     return run
 
@@ -229,28 +335,50 @@ def _join_cell(percent: int):
     return run
 
 
-def neighbourhoods(classes: DataFrame) -> DataFrame:
-    """node, root: classes (id, prefix) that share an n-gram of their prefixes, directly or through others.
+def linkable(cases: DataFrame, size: int, percent: int) -> DataFrame:
+    """class: the sets that can have a link, lacking in some view no more shared keys than a linked set may.
 
-    Every link lies inside one. Each n-gram ties its classes to the least of them, a row per class and n-gram.
+    A key is shared where two classes have it. Keys go over the network once, without the
+    frequent ones, which are taken for shared.
+    """
+    often = frequent_ngrams(cases, size)
+    rows = cases.select("rationale").mapInArrow(_keys(size, percent, often), "class long, view byte, key long, need long")
+    # a set without a need left is linkable as it is; its row has no key
+    met = Window.partitionBy("view", "key")
+    two = F.min("class").over(met) < F.max("class").over(met)
+    marked = rows.withColumn("__spread", F.when(F.col("key").isNull(), F.col("class")))
+    met = Window.partitionBy("view", "key", "__spread")
+    two = F.min("class").over(met) < F.max("class").over(met)
+    seen = marked.withColumn("__two", two).filter("__two or key is null")
+    # equal sets of several batches send their rows several times: a class's keys count once
+    once = seen.groupBy("class", "view").agg(F.max("need").alias("need"), F.count_distinct("key").alias("shared"))
+    return once.filter("shared >= need").select("class").distinct()
+
+
+def neighbourhoods(sets: DataFrame, percent: int) -> DataFrame:
+    """node, root: cases whose rarest keys meet, directly or through others.
+
+    sets: id, grams. In every view a case keeps one key more than it can lack, the rarest among the
+    given cases first; two linked cases then have one in common. Each key ties its
+    cases to the least of them. Counts combine on the map side; frequent keys are split by the join.
     """
-    postings = classes.select("id", F.explode("prefix").alias("gram"))
-    hubs = postings.groupBy("gram").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "hub")
-    return connected_components(postings.join(hubs, "gram").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    keys = sets.mapInArrow(_view_keys(percent), "id long, view byte, key long, prefix int")
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"))
+    rarest = Window.partitionBy("id", "view").orderBy("n", "key")
+    first = keys.join(often, "key").withColumn("__at", F.row_number().over(rarest)).filter("__at <= prefix and n > 1")
+    return connected_components(first.select(F.col("id").alias("a"), F.col("hub").alias("b")))
 
 
-def verified_links(cases: DataFrame, units: DataFrame, size: int, percent: int) -> DataFrame:
+def verified_links(sets: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     """a, b: links of a spanning forest between the cases of each neighbourhood.
 
     A neighbourhood is cut into blocks; each pair of its blocks is one group, searched with
     an index of the one block. So no task holds more than two blocks, however large a neighbourhood is.
     """
-    members = units.select(F.col("node").alias("id"), F.col("root").alias("unit"))
-    sets = cases.select("id", "rationale").join(members, "id").mapInArrow(_whole_sets(size), "id long, unit long, n long, grams binary")
-    sets = settle(sets)
-    weight = sets.groupBy("unit").agg(F.count(F.lit(1)).alias("cases"), F.sum("n").alias("all"))
+    members = sets.join(units.select(F.col("node").alias("id"), F.col("root").alias("unit")), "id")
+    weight = members.groupBy("unit").agg(F.count(F.lit(1)).alias("cases"), F.sum("n").alias("all"))
     blocks = F.greatest(F.ceil(F.col("cases") / BLOCK_CASES), F.ceil(F.col("all") / BLOCK_GRAMS)).cast("int")
-    dealt = sets.join(weight.select("unit", blocks.alias("blocks")), "unit")
+    dealt = members.join(weight.select("unit", blocks.alias("blocks")), "unit")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     cells = dealt.select("unit", "id", "block", "grams", other)
@@ -263,26 +391,28 @@ def link_cases(cases: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
     cases: id (long), rationale. Two cases link when 100 * |A and B| >= percent * |A or B| of
     their sets of word n-grams. Cases with equal sets form a class, of which the least id is searched. Classes
-    that share an n-gram of their prefixes (rarest first) form neighbourhoods, found
-    by map-side combined counts and components; inside, DivideSkip finds the links. All of it is exact.
+    that share too few n-grams with any other are set aside; those left whose rarest n-grams meet form
+    neighbourhoods, and inside these DivideSkip finds the links. All of it is exact.
 
     Nulls: a null, empty or blank rationale has an empty set, links with nothing and is its own component;
     a case without an id takes its class's component, or null alone. An id that occurs in several
     rows is one node that has the links of each. No cases: no rows. Other columns are not carried.
     """
     cases = cases.select(F.col("id").cast("long").alias("id"), "rationale")
-    frequent = frequent_ngrams(cases, size)
-    measured = settle(cases.mapInArrow(_sets(size, percent, frequent), "id long, n long, key binary, prefix array<long>"))
+    measured = settle(cases.mapInArrow(_measure(size), "id long, n long, key binary, class long"))
     full = measured.filter("n > 0")
-    classes = full.groupBy("key").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"))
-    units = neighbourhoods(classes.filter("id is not null").select("id", "prefix"))
-    copies = full.groupBy("key").agg(F.min("id").alias("rep"))
+    classes = full.groupBy("key").agg(F.min("id").alias("rep"), F.first("class").alias("class"))
+    found = classes.join(linkable(cases, size, percent), "class").filter("rep is not null")
+    found = settle(found.select(F.col("rep").alias("id"), "key"))
+    sets = cases.mapInArrow(_whole_sets(size, id_filter(found)), "id long, n long, key binary, grams binary")
+    sets = settle(sets.join(found, ["id", "key"]).dropDuplicates(["id", "key"]).select("id", "n", "grams"))
+    links = verified_links(sets, neighbourhoods(sets, percent), percent)
     # an id with several rows ties their classes together
-    several = full.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id")
+    copies = classes.select("key", "rep")
+    several = full.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 and id is not null").select("id")
     ties = full.join(several, "id").join(copies, "key").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = verified_links(cases, units, size, percent)
     roots = connected_components(links.unionByName(ties))
-    out = measured.select("id", "n", "key").join(copies, "key", "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")))
+    out = measured.select("id", "n", "key").join(copies, "key", "left")
     out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id"))
 

@@ -54,6 +54,7 @@ def corpus(seed=4):
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
 def test_matches_all_pairs(spark, size, percent, monkeypatch):
     monkeypatch.setattr(nj, "BLOCK_CASES", 5)  # small blocks: neighbourhoods go over many
+    monkeypatch.setattr(nj, "FREQUENT", 40)
     rows = corpus()
     cases = spark.createDataFrame([(i, t, 0) for i, t in rows], "id long, rationale string, component_id int").repartition(4)
     got = sorted(tuple(r) for r in nj.link_cases(cases, size, percent).collect())
@@ -100,7 +101,7 @@ def test_divide_skip_spans_all_links():
         assert all(same)
 
 
-def test_prefix_and_overlap_bounds():
+def test_overlap_bounds():
     for percent in (80, 90):
         for n in range(1, 60):
             for m in range(1, 60):
@@ -108,7 +109,26 @@ def test_prefix_and_overlap_bounds():
                     linked = 100 * both >= percent * (n + m - both)
                     assert linked == (both >= nj.least_overlap(n, m, percent))
                     if linked:
-                        assert nj.prefix_length(n, percent) + both > n
+                        assert n - both <= nj.most_missing(n, percent)
+
+
+def test_linked_sets_share_a_view_and_its_first_keys(monkeypatch):
+    monkeypatch.setattr(nj, "SMALL", 20)
+    draw = np.random.default_rng(7)
+    for percent in (80, 90):
+        met = set()
+        for _ in range(3000):
+            n = int(draw.integers(1, 60))
+            x = np.unique(draw.integers(0, 2**63, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[draw.random(n) > 0.04], draw.integers(0, 2**63, int(draw.integers(0, 4)), dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            if not both or 100 * both < percent * (len(x) + len(y) - both):
+                continue
+            a, b = dict(nj.views(x, percent)), dict(nj.views(y, percent))
+            firsts = [set(np.sort(s[v])[: nj.most_missing(len(t), percent) + 1]) for s, t, v in ((s, t, v) for v in a.keys() & b.keys() for s, t in ((a, x), (b, y)))]
+            assert any(p & q for p, q in zip(firsts[::2], firsts[1::2], strict=True))
+            met |= a.keys()
+        assert met == {1, 2, 3}
 
 
 def test_components(spark):
