@@ -147,31 +147,29 @@ def near_dup_join(left: DataFrame, right: DataFrame | None = None, threshold: in
     return out.select("a_rep", "b_rep", hamming().alias("hamming"), "a_copies", "b_copies")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rows_per_task: int = 1_000_000) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) with root = smallest node of the component, for nodes that have an edge.
 
     Alternating large-star / small-star contraction. Minimum neighbours are a
-    combined aggregate; joining them back spreads hub nodes over salted tasks.
-    Every round is cut with a reliable checkpoint.
+    combined aggregate; the join back is split at hub nodes by the runtime skew
+    join. A round is one checkpointed table and one row that tells whether it
+    moved: count and digest of the edges.
     """
-    e = settle(
-        edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u <> v").distinct()
-    )
+    e = settle(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u <> v").distinct())
+    before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("deg"))
-        large = skew_attach(both, low, "u", ["v"], "deg", rows_per_task=rows_per_task).filter("v > u")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(low, "u")
         e1 = large.select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
         # Small star: hang every node and its smaller neighbours below the smallest of them.
-        up = e1.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        least = up.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
-        joined = skew_attach(up, least, "u", ["v"], "deg", rows_per_task=rows_per_task)
-        e2 = joined.select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).filter("a <> b")
-        nxt = settle(e2.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
-        moved = nxt.join(e, ["u", "v"], "left_anti").limit(1).count() + e.join(nxt, ["u", "v"], "left_anti").limit(1).count()
-        e = nxt
-        if moved == 0:
+        least = e1.groupBy("v").agg(F.min("u").alias("m"))
+        below = e1.join(least, "v").select(F.col("m").alias("u"), F.col("u").alias("v"))
+        e = settle(below.unionByName(least.select(F.col("m").alias("u"), "v")).filter("u <> v").distinct())
+        state = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if state == before:
             break
+        before = state
     roots = e.select(F.col("u").alias("node")).distinct()
     return e.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root"))
@@ -184,7 +182,7 @@ def _star_edges(banded: DataFrame, threshold: int, rows_per_task: int) -> DataFr
     heads = banded.groupBy("bucket").agg(pivot.alias("c"), F.count(F.lit(1)).alias("size"))
     heads = heads.filter("size > 1").select("bucket", F.col("c.rep").alias("b_rep"), *[F.col(f"c.{w}").alias(f"b_{w}") for w in WORDS], "size")
     members = banded.select("bucket", F.col("rep").alias("a_rep"), *[F.col(w).alias(f"a_{w}") for w in WORDS])
-    joined = skew_attach(members, heads, "bucket", ["a_rep"], "size", rows_per_task=rows_per_task)
+    joined = skew_attach(members, settle(heads), "bucket", ["a_rep"], "size", rows_per_task=rows_per_task, nulls=False)
     return joined.filter((F.col("a_rep") != F.col("b_rep")) & (hamming() <= threshold)).select(
         F.col("a_rep").alias("a"), F.col("b_rep").alias("b")
     )
@@ -194,12 +192,13 @@ def _cross_edges(banded: DataFrame, comps: DataFrame, threshold: int, rows_per_t
     """Edges between components that share a bucket.
 
     Only buckets holding several components are opened. In those, members outside
-    the bucket's largest component meet the members of other components; the two
-    sides are spread over salts sized from the bucket.
+    the bucket's largest component meet the members of other components. Both
+    sides are dealt over salts sized from the bucket, a pair of salts to a group.
+    The opened members are written once; both sides read that table.
     """
-    tagged = banded.join(comps, banded["rep"] == comps["node"], "left").withColumn(
-        "root", F.coalesce("root", "rep")
-    ).drop("node")
+    roots = comps.select(F.col("node").alias("rep"), "root")
+    tagged = banded.select("bucket", "rep", *WORDS).join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    tagged = settle(tagged)
     sizes = tagged.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
     mixed = sizes.groupBy("bucket").agg(
         F.max_by("root", F.struct(F.col("k"), F.col("root"))).alias("major"),
@@ -207,21 +206,18 @@ def _cross_edges(banded: DataFrame, comps: DataFrame, threshold: int, rows_per_t
         F.sum("k").alias("size"),
     ).filter("n_roots > 1")
     salts = (F.floor(F.col("size") / F.lit(rows_per_task)) + 1).cast("int")
-    mixed = mixed.select("bucket", "major", "size", salts.alias("n_salts"))
-    opened = skew_attach(tagged, mixed, "bucket", ["rep"], "size", rows_per_task=rows_per_task)
-    everyone = opened.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("n_salts")).cast("int"))
-    minor = opened.filter(F.col("root") != F.col("major")).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1))
-    )
-    keep = ["bucket", "salt", "rep", "root", *WORDS]
+    mixed = mixed.select("bucket", "major", salts.alias("n_salts"))
+    opened = settle(tagged.join(mixed, "bucket"))
+    own, every = F.pmod(F.xxhash64("rep"), F.col("n_salts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1))
+    keep = ["bucket", "left_salt", "right_salt", "rep", "root", *WORDS]
+    minor = opened.filter(F.col("root") != F.col("major")).withColumn("left_salt", own).withColumn("right_salt", every)
+    everyone = opened.withColumn("right_salt", own).withColumn("left_salt", every)
     a = minor.select(*[F.col(c).alias("a_" + c) for c in keep])
     b = everyone.select(*[F.col(c).alias("b_" + c) for c in keep])
-    hit = (
-        (F.col("a_bucket") == F.col("b_bucket"))
-        & (F.col("a_salt") == F.col("b_salt"))
-        & (F.col("a_root") != F.col("b_root"))
-        & (hamming() <= threshold)
-    )
+    hit = F.lit(True)
+    for c in keep[:3]:
+        hit = hit & (F.col(f"a_{c}") == F.col(f"b_{c}"))
+    hit = hit & (F.col("a_root") != F.col("b_root")) & (hamming() <= threshold)
     return a.join(b, hit).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
 
 
@@ -235,9 +231,9 @@ def signature_components(reps: DataFrame, threshold: int = THRESHOLD, rows_per_t
     if threshold >= len(BAND_WIDTHS):
         raise ValueError(f"bands are exact up to a distance of {len(BAND_WIDTHS) - 1}")
     banded = settle(bands(reps))
-    comps = connected_components(_star_edges(banded, threshold, rows_per_task), rows_per_task=rows_per_task)
+    comps = settle(connected_components(_star_edges(banded, threshold, rows_per_task)))
     bridges = _cross_edges(banded, comps, threshold, rows_per_task)
-    upper = connected_components(bridges, rows_per_task=rows_per_task).select(
+    upper = connected_components(bridges).select(
         F.col("node").alias("root"), F.col("root").alias("top")
     )
     base = reps.select("rep").join(comps, reps["rep"] == comps["node"], "left").select(
@@ -250,7 +246,7 @@ def provenance_clusters(sigs: DataFrame, ident: str = "id", threshold: int = THR
     """(ident, cluster): dense ids 0..G-1 in order of each component's smallest member."""
     settled = settle(sigs.select(ident, *WORDS))
     reps = settle(distinct_signatures(settled, ident))
-    comps = signature_components(reps, threshold)
+    comps = settle(signature_components(reps, threshold))
     named = reps.join(comps, "rep")
     first = named.groupBy("root").agg(F.min("rep").alias("first"))
     numbered = ranked(first, [], ["first"], value_bucket("first"), "__rn").select(
@@ -260,7 +256,7 @@ def provenance_clusters(sigs: DataFrame, ident: str = "id", threshold: int = THR
         F.sha2(signature_hex(), 256).alias("__sig"), "cluster", "copies"
     )
     keyed = settled.select(ident, F.sha2(signature_hex(), 256).alias("__sig"))
-    return skew_attach(keyed, table, "__sig", [ident], "copies").select(ident, "cluster")
+    return skew_attach(keyed, settle(table), "__sig", [ident], "copies", nulls=False).select(ident, "cluster")
 
 
 def dedup_representatives(items: DataFrame, keys: Sequence[str] = ("cluster", "label"), ident: str = "id") -> DataFrame:
@@ -311,6 +307,7 @@ def exact_overlap(holdout: DataFrame, train: DataFrame, text: str = "text", iden
         F.min(ident).alias("train_id"), F.min_by("label", ident).alias("train_label")
     )
     held = holdout.select(F.md5(text).alias("md5"), F.col(ident).alias("holdout_id"), F.col("label").alias("holdout_label"))
+    # one train row per text: a text copied many times in the holdout is split by the runtime skew join
     return held.join(first, "md5").drop("md5")
 
 
