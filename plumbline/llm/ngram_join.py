@@ -8,11 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.llm.common import settle
 from plumbline.llm.components import connected_components
+from plumbline.llm.word_ids import text_slices
 
 SHINGLE, PERCENT = 5, 80
 #: N-grams known as frequent are counted as shared at once and never shuffled. The number never changes a result.
@@ -20,7 +22,7 @@ FREQUENT = 1 << 16
 COUNT_BLOCK = 4_000_000
 #: A block of a neighbourhood: so many cases, or so many n-grams, and a little more.
 BLOCK_CASES, BLOCK_GRAMS = 256, 500_000
-CACHED_WORDS = 400_000
+BYTES_PER_STEP = 4_000_000
 #: Sets up to this size are looked up by all their n-grams.
 SMALL = 128
 _VIEW = np.array([0, 0, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
@@ -30,32 +32,43 @@ FILTER_BITS = 1 << 27
 PROBE = 0.01
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+def _mix(h: np.ndarray, n: int, count: int) -> np.ndarray:
+    """Digests of `count` runs of n words that begin at 0, 1, 2, ... of the word digests h."""
+    out = np.full(count, n, np.uint64)
+    for j in range(n):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[j : count + j]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(29))
 
 
-_words = _Words()
+def ngram_sets(texts: pa.StringArray, size: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit digests of the word n-grams of the whole of it.
 
+    A-Z are lower-cased, words are runs of anything but ASCII white space. Fewer words than `size` make
+    one n-gram; a null text or one without words has none. Distinct words of a slice are digested once.
+    """
+    for _, some in text_slices(texts.fill_null(""), BYTES_PER_STEP):
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(some))
+        words = cut.flatten().dictionary_encode()
+        digests = np.array([xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
+        at = words.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])
+        if (empty := words.dictionary.index("").as_py()) >= 0:  # before a leading and behind a trailing space
+            real = at != empty
+            ends = np.concatenate([[0], np.cumsum(real)])[ends]
+            at = at[real]
+        h = digests[at] if len(at) else np.zeros(0, np.uint64)
+        grams = _mix(h, size, max(len(h) - size + 1, 0))
+        for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+            if b - a >= size:
+                yield np.unique(grams[a : b - size + 1])
+            else:
+                yield _mix(h[a:b], b - a, 1) if b > a else np.zeros(0, np.uint64)
 
-def ngram_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit digests of the word n-grams of a whole text.
 
-    A-Z are lower-cased, words are runs of anything but ASCII white space. Fewer words than `size` make one n-gram.
-    """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = min(size, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for j in range(n):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[j : len(h) - n + 1 + j]
-    out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(out ^ (out >> np.uint64(29)))
+def ngram_set(text: str | None, size: int) -> np.ndarray:
+    """The set of one text."""
+    return next(ngram_sets(pa.array([text], pa.string()), size))
 
 
 def least_overlap(n: int, m: int, percent: int) -> int:
@@ -90,86 +103,78 @@ def views(grams: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def _frequent(size: int):
+def set_key(grams: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(grams.tobytes())
+
+
+def class_number(grams: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(grams.tobytes()) >> 3
+
+
+def _measure(size: int):
+    """A row per case, and rows (gram, often) of the n-grams that a block of the task's sets has more than twice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held = [], 0
 
         def often() -> pa.RecordBatch:
             grams, counts = np.unique(np.concatenate(kept), return_counts=True)
-            more = counts > 2
-            return pa.RecordBatch.from_pydict({"gram": grams[more].view(np.int64), "n": counts[more].astype(np.int64)})
+            grams, counts = grams[counts > 2], counts[counts > 2]
+            none = [pa.nulls(len(grams), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(grams.view(np.int64)), pa.array(counts)], names)
 
+        names = ["id", "n", "key", "class", "gram", "often"]
         for batch in batches:
-            for text in batch.column("rationale").to_pylist():
-                kept.append(ngram_set(text, size))
-                held += len(kept[-1])
+            n, keys, numbers = [], [], []
+            for grams in ngram_sets(batch.column("rationale"), size):
+                n.append(len(grams)), keys.append(set_key(grams)), numbers.append(class_number(grams))
+                kept.append(grams)
+                held += len(grams)
                 if held >= COUNT_BLOCK:
                     yield often()
                     kept, held = [], 0
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(numbers, pa.int64()), none, none], names
+            )
         if kept:
             yield often()
 
     return run
 
 
-def frequent_ngrams(cases: DataFrame, size: int) -> np.ndarray:
-    """Sorted digests of the n-grams that tasks met most often: at most FREQUENT."""
-    counts = cases.select("rationale").mapInArrow(_frequent(size), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()
+def frequent_ngrams(counts: DataFrame) -> np.ndarray:
+    """Sorted digests of the n-grams (gram, often) that tasks met most often: at most FREQUENT."""
+    top = counts.groupBy("gram").agg(F.sum("often").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()
     return np.sort(np.array([r["gram"] for r in top], np.int64).view(np.uint64))
 
 
-def set_key(grams: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(grams.tobytes())
-
-
-def _class_number(grams: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(grams.tobytes()) >> 1
-
-
-def _measure(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, keys, numbers = [], [], []
-            for text in batch.column("rationale").to_pylist():
-                grams = ngram_set(text, size)
-                n.append(len(grams)), keys.append(set_key(grams)), numbers.append(_class_number(grams))
-            arrays = [batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(numbers, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "key", "class"])
-
-    return run
-
-
 def _keys(size: int, percent: int, frequent: np.ndarray):
-    """(class, view, key) of every set's keys that are not frequent; each view also has a row without a key
-    that says how many of them have to be shared for the set to have any link.
+    """(owner, key) of every set's keys that are not frequent; owner is four times the class plus the view.
+
+    For each owner one more row, with a key of its own, says how many of its keys have to be shared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number, view, key, need = [], [], [], []
+            owners, keys, needs = [], [], []
             done = set()  # equal sets of a batch give equal rows
-            for text in batch.column("rationale").to_pylist():
-                grams = ngram_set(text, size)
-                own = _class_number(grams)
-                if own in done:
+            for grams in ngram_sets(batch.column("rationale"), size):
+                number = class_number(grams)
+                if number in done:
                     continue
-                done.add(own)
-                for v, keys in views(grams, percent):
-                    plain = keys ^ _VIEW[v]
-                    rare = keys[frequent[np.minimum(np.searchsorted(frequent, plain), len(frequent) - 1)] != plain] if len(frequent) else keys
-                    number.append(np.full(len(rare) + 1, own, np.int64))
-                    view.append(np.full(len(rare) + 1, v, np.int8))
-                    key.append(np.append(rare.view(np.int64), 0))
+                done.add(number)
+                for v, own in views(grams, percent):
+                    plain = own ^ _VIEW[v]
+                    if len(frequent):
+                        own = own[frequent[np.minimum(np.searchsorted(frequent, plain), len(frequent) - 1)] != plain]
+                    owners.append(np.full(len(own) + 1, 4 * number + v, np.int64))
+                    keys.append(np.append(own.view(np.int64), 4 * number + v))
                     # of the keys that are left, those that must be shared
-                    most = np.zeros(len(rare) + 1, np.int64)
-                    most[-1] = len(rare) - most_missing(len(grams), percent)
-                    need.append(most)
-            if number:
-                number, view, key, need = map(np.concatenate, (number, view, key, need))
-                last = np.concatenate([number[1:] != number[:-1], [True]]) | np.concatenate([view[1:] != view[:-1], [True]])
-                keys = pa.array(key, mask=last)
-                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(view), keys, pa.array(need, mask=~last)], ["class", "view", "key", "need"])
+                    needs.append(np.append(np.full(len(own), -1, np.int32), np.int32(max(0, len(own) - most_missing(len(grams), percent)))))
+            if owners:
+                owner, key, need = map(np.concatenate, (owners, keys, needs))
+                yield pa.RecordBatch.from_pydict({"owner": owner, "key": key, "need": need})
 
     return run
 
@@ -182,10 +187,9 @@ def _whole_sets(size: int, bits: np.ndarray):
             ids = batch.column("id").fill_null(-1).to_numpy()
             at = filter_places(ids)
             batch = batch.filter(pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
-            sets = [ngram_set(t, size) for t in batch.column("rationale").to_pylist()]
+            sets = list(ngram_sets(batch.column("rationale"), size))
             n, raw = pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
-            keys = pa.array([set_key(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), n, keys, raw], ["id", "n", "key", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), n, raw], ["id", "n", "grams"])
 
     return run
 
@@ -335,24 +339,18 @@ def _join_cell(percent: int):
     return run
 
 
-def linkable(cases: DataFrame, size: int, percent: int) -> DataFrame:
+def linkable(cases: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
     """class: the sets that can have a link, lacking in some view no more shared keys than a linked set may.
 
     A key is shared where two classes have it. Keys go over the network once, without the
-    frequent ones, which are taken for shared.
+    frequent ones, which are taken for shared. A class met by several tasks counts its shared keys
+    several times, which can only let more through.
     """
-    often = frequent_ngrams(cases, size)
-    rows = cases.select("rationale").mapInArrow(_keys(size, percent, often), "class long, view byte, key long, need long")
-    # a set without a need left is linkable as it is; its row has no key
-    met = Window.partitionBy("view", "key")
-    two = F.min("class").over(met) < F.max("class").over(met)
-    marked = rows.withColumn("__spread", F.when(F.col("key").isNull(), F.col("class")))
-    met = Window.partitionBy("view", "key", "__spread")
-    two = F.min("class").over(met) < F.max("class").over(met)
-    seen = marked.withColumn("__two", two).filter("__two or key is null")
-    # equal sets of several batches send their rows several times: a class's keys count once
-    once = seen.groupBy("class", "view").agg(F.max("need").alias("need"), F.count_distinct("key").alias("shared"))
-    return once.filter("shared >= need").select("class").distinct()
+    rows = cases.select("rationale").mapInArrow(_keys(size, percent, frequent), "owner long, key long, need int")
+    met = Window.partitionBy("key")
+    shared = rows.withColumn("__two", F.min("owner").over(met) < F.max("owner").over(met))
+    counts = shared.groupBy("owner").agg(F.max("need").alias("need"), F.count_if("__two").alias("shared"))
+    return counts.filter("shared >= need").select(F.shiftright("owner", 2).alias("class")).distinct()
 
 
 def neighbourhoods(sets: DataFrame, percent: int) -> DataFrame:
@@ -374,14 +372,14 @@ def verified_links(sets: DataFrame, units: DataFrame, percent: int) -> DataFrame
 
     A neighbourhood is cut into blocks; each pair of its blocks is one group, searched with
     an index of the one block. So no task holds more than two blocks, however large a neighbourhood is.
+    Blocks are dealt out on ids and sizes; sets join them once.
     """
-    members = sets.join(units.select(F.col("node").alias("id"), F.col("root").alias("unit")), "id")
+    members = sets.select("id", "n").join(units.select(F.col("node").alias("id"), F.col("root").alias("unit")), "id")
     weight = members.groupBy("unit").agg(F.count(F.lit(1)).alias("cases"), F.sum("n").alias("all"))
     blocks = F.greatest(F.ceil(F.col("cases") / BLOCK_CASES), F.ceil(F.col("all") / BLOCK_GRAMS)).cast("int")
-    dealt = members.join(weight.select("unit", blocks.alias("blocks")), "unit")
+    dealt = members.select("id", "unit").distinct().join(weight.select("unit", blocks.alias("blocks")), "unit")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = dealt.select("unit", "id", "block", "grams", other)
+    cells = sets.select("id", "grams").join(dealt, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "grams")
     return cells.groupBy("unit", "i", "j").applyInArrow(_join_cell(percent), "a long, b long")
 
@@ -399,13 +397,17 @@ def link_cases(cases: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     rows is one node that has the links of each. No cases: no rows. Other columns are not carried.
     """
     cases = cases.select(F.col("id").cast("long").alias("id"), "rationale")
-    measured = settle(cases.mapInArrow(_measure(size), "id long, n long, key binary, class long"))
+    both = settle(cases.mapInArrow(_measure(size), "id long, n long, key binary, class long, gram long, often long"))
+    measured = both.filter("key is not null").drop("gram", "often")
+    frequent = frequent_ngrams(both.filter("key is null").select("gram", "often"))
     full = measured.filter("n > 0")
     classes = full.groupBy("key").agg(F.min("id").alias("rep"), F.first("class").alias("class"))
-    found = classes.join(linkable(cases, size, percent), "class").filter("rep is not null")
-    found = settle(found.select(F.col("rep").alias("id"), "key"))
-    sets = cases.mapInArrow(_whole_sets(size, id_filter(found)), "id long, n long, key binary, grams binary")
-    sets = settle(sets.join(found, ["id", "key"]).dropDuplicates(["id", "key"]).select("id", "n", "grams"))
+    found = classes.join(linkable(cases, frequent, size, percent), "class").filter("rep is not null")
+    found = settle(found.select(F.col("rep").alias("id")).distinct())
+    sets = cases.mapInArrow(_whole_sets(size, id_filter(found)), "id long, n long, grams binary")
+    if found.count() > FILTER_BITS // 64:  # then a filter lets many others through; as such they do no harm
+        sets = sets.join(found, "id", "left_semi")
+    sets = settle(sets)
     links = verified_links(sets, neighbourhoods(sets, percent), percent)
     # an id with several rows ties their classes together
     copies = classes.select("key", "rep")

@@ -146,3 +146,17 @@ def test_components(spark):
         x, y = root(a), root(b)
         up[max(x, y)] = min(x, y)
     assert got == {i: root(i) for e in edges if e[0] != e[1] for i in e}
+
+
+def test_words_are_cut_at_ascii_space_alone():
+    import re
+
+    import pyarrow as pa
+
+    draw = random.Random(6)
+    texts = ["".join(draw.choice("aB é\x1c\x85\xa0\t\n\v\f\r  Ω") for _ in range(draw.randint(0, 60))) for _ in range(300)] + [None]
+    for text, grams in zip(texts, nj.ngram_sets(pa.array(texts), 3), strict=True):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+        assert len(grams) == len({tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else ())
+        assert (grams == nj.ngram_set(" ".join(words), 3)).all()
