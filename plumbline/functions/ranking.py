@@ -22,6 +22,7 @@ from plumbline.functions.maths import col
 
 UNIT_BUCKETS = 1024
 STEPS_PER_OCTAVE = 256
+BEYOND = 1 << 29
 
 
 def unit_bucket(u, buckets: int = UNIT_BUCKETS) -> Column:
@@ -30,20 +31,25 @@ def unit_bucket(u, buckets: int = UNIT_BUCKETS) -> Column:
 
 
 def value_bucket(x, steps: int = STEPS_PER_OCTAVE) -> Column:
-    """Monotone bucket of any finite number: octave by exponent, cut into equal steps.
+    """Monotone bucket of any number: octave by exponent, cut into equal steps.
 
     log2 may be off by one next to a power of two. The formula is continuous in
     the exponent, so the bucket order still follows the value order. Values below
-    2^-40 in magnitude share the zero bucket.
+    2^-40 in magnitude share the zero bucket. Infinities and NaN have buckets of
+    their own beyond the finite ones, NaN last as in a sort; NULL has none.
     """
-    x = col(x).cast("double")
+    whole = col(x).cast("double")
+    finite = ~F.isnan(whole) & (F.abs(whole) < F.lit(float("inf")))
+    x = F.when(finite, whole)
     tiny = 2.0**-40
     e = F.floor(F.log2(F.abs(x)))
     mag = (e + F.lit(40.0)) * F.lit(float(steps)) + F.floor(
         (F.abs(x) / F.pow(F.lit(2.0), e.cast("double")) - F.lit(1.0)) * F.lit(float(steps))
     )
     mag = F.greatest(mag, F.lit(0.0)) + F.lit(1.0)
-    return F.when(F.abs(x) < F.lit(tiny), F.lit(0)).otherwise(F.signum(x) * mag).cast("int")
+    inside = F.when(F.abs(x) < F.lit(tiny), F.lit(0)).otherwise(F.signum(x) * mag).cast("int")
+    beyond = F.when(F.isnan(whole), F.lit(2 * BEYOND)).when(whole > 0, F.lit(BEYOND)).otherwise(F.lit(-BEYOND))
+    return F.when(finite, inside).when(whole.isNotNull(), beyond)
 
 
 def _null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:

@@ -134,9 +134,11 @@ def order_statistic(
 ) -> DataFrame:
     """Value at a 1-based position of each group; `position` may use column `size`.
 
-    Runs on the distinct-score histogram, so copies of one score are one row.
+    Runs on the distinct-score histogram, so copies of one score are one row. NULL and
+    NaN are no values: they take no position and do not count. Infinities keep their order.
     """
-    hist = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("__c"))
+    some = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+    hist = df.filter(some).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("__c"))
     run = running_totals(
         hist, keys, [score], value_bucket(score), {"__cum": "__c"}, totals={"__cum": size}
     ).withColumn("__k", position)

@@ -66,17 +66,17 @@ def linear_probe(
     """Fit on `features`. regParam = (n - 1) / (C n^2) matches a C-weighted loss over
     features scaled by the population deviation; balanced weights are n / (k n_c).
     """
-    counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES).collect()}
-    n, k = sum(counts.values()), len(counts)
+    counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("__m"))
+    n, k = counts.agg(F.coalesce(F.sum("__m"), F.lit(0)), F.count(F.lit(1))).first()
     if k < 2:
         raise ValueError("a probe needs two classes")
     ready = _sliced(train, keep).withColumn("__y", F.col(label).cast("double"))
-    weight = F.lit(1.0)
     if balanced:
-        for value, m in counts.items():
-            weight = F.when(F.col(label) == value, F.lit(n / (k * m))).otherwise(weight)
+        ready = ready.join(counts, label).withColumn("__w", F.lit(n / k) / F.col("__m")).drop("__m")
+    else:
+        ready = ready.withColumn("__w", F.lit(1.0))
     # Every solver step is one job over the partitions: size them by rows, not by the cluster.
-    ready = ready.withColumn("__w", weight).coalesce(math.ceil(n / ROWS_PER_PARTITION))
+    ready = ready.coalesce(math.ceil(n / ROWS_PER_PARTITION))
     scaler = StandardScaler(inputCol="__in", outputCol="__scaled", withMean=True, withStd=True).fit(ready)
     model = LogisticRegression(
         featuresCol="__scaled", labelCol="__y", weightCol="__w", regParam=(n - 1) / (c * n * n), elasticNetParam=0.0,

@@ -59,20 +59,18 @@ def interval(df: DataFrame, keys: Sequence[str], value: str, prefix: str, level:
 
 def replicate_auc(
     df: DataFrame, keys: Sequence[str], score: str, label: str, n_boot: int, seed, draw_keys: Sequence[str], name: str = "auc",
-    steps: int = REPLICATE_STEPS,
+    steps: int = REPLICATE_STEPS, single: bool = False,
 ) -> DataFrame:
     """(keys, rep, auc): weighted AUC of every replicate, NULL for a single-class one.
 
     `steps` sets the score buckets per octave: each bucket is one group of work and
-    returns one row per replicate, so fewer than for plain ranks is right.
+    returns one row per replicate, so fewer than for plain ranks is right. `single`
+    tells that the draw keys name one row each.
     """
-    # Rows with one score, label and draw key move together: combine them first.
-    base = (
-        df.groupBy(*keys, *[k for k in draw_keys if k not in keys], F.col(score).cast("double").alias("score"), F.col(label).alias("__y"))
-        .agg(F.count(F.lit(1)).alias("__k"))
-        .withColumn("__b", value_bucket("score", steps))
-        .repartition(*keys, "__b")
-    )
+    columns = [*keys, *[k for k in draw_keys if k not in keys], F.col(score).cast("double").alias("score"), F.col(label).alias("__y")]
+    # Rows with one score, label and draw key move together; a key of single rows has none to combine.
+    rows = df.select(*columns, F.lit(1).alias("__k")) if single else df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__k"))
+    base = rows.filter("score is not null").withColumn("__b", value_bucket("score", steps)).repartition(*keys, "__b")
     each = spread_replicates(base, n_boot, seed, draw_keys).withColumn("__wk", F.col("w") * F.col("__k"))
     zero = F.lit(0).cast("bigint")
     hist = each.groupBy(*keys, "__b", "rep", "score").agg(
@@ -88,7 +86,7 @@ def bootstrap_auc_ci(
     ident: str = "id",
 ) -> DataFrame:
     """AUC with its row-bootstrap interval; single-class replicates are skipped."""
-    reps = replicate_auc(df, keys, score, label, n_boot, seed, [ident])
+    reps = replicate_auc(df, keys, score, label, n_boot, seed, [ident], single=True)
     ci = reps.filter(F.col("auc").isNotNull()).groupBy(*keys).agg(*interval(reps, keys, "auc", "auc"))
     point = M.auc(df, keys, score, label)
     return attach(point, ci, keys, "left") if keys else point.join(ci, how="left")
@@ -152,8 +150,8 @@ def paired_bootstrap_delta(
     ident: str = "id", thr_b: Column | None = None,
 ) -> DataFrame:
     """Intervals of AUC and specificity differences (b - a) on the same resampled rows."""
-    a = replicate_auc(df, [], score_a, label, n_boot, seed, [ident], "auc_a")
-    b = replicate_auc(df, [], score_b, label, n_boot, seed, [ident], "auc_b")
+    a = replicate_auc(df, [], score_a, label, n_boot, seed, [ident], "auc_a", single=True)
+    b = replicate_auc(df, [], score_b, label, n_boot, seed, [ident], "auc_b", single=True)
     auc_d = a.join(b, "rep").select("rep", (F.col("auc_b") - F.col("auc_a")).alias("d_auc"))
     neg = df.filter(F.col(label) == 0).select(
         ident, thr_a.cast("int").alias("__fa"), (thr_b if thr_b is not None else thr_a).cast("int").alias("__fb")

@@ -9,7 +9,7 @@ from plumbline.functions.maths import sigmoid
 from plumbline.operators import arrays as G
 from plumbline.operators import resample as B
 from plumbline.plans.common import rounded
-from plumbline.plans.q_resample import N_BOOT, ci, reps_sql
+from plumbline.plans.q_resample import N_BOOT_MEAN, ci, reps_sql
 from plumbline.plans.registry import query
 from plumbline.plans.views import ssig, su
 
@@ -174,13 +174,13 @@ def _ioufixed(v):
 SELECT *, 0 AS j FROM las UNION ALL SELECT *, 1 FROM lrs) JOIN (
 SELECT 0 AS j, {ci('mean', 'mean')} FROM (SELECT rep, sum(w*hit::INT)::DOUBLE/sum(w) AS mean FROM ra GROUP BY rep) UNION ALL
 SELECT 1, {ci('mean', 'mean')} FROM (SELECT rep, sum(w*hit::INT)::DOUBLE/sum(w) AS mean FROM rr GROUP BY rep)) USING (j)""", "cells boxes",
-       ", ".join((RAST, LOC, loc_sql("ev", "model", "la"), loc_sql("rnd", "random", "lr"), reps_sql("la", "id, hit", "id", 7, N_BOOT, "ra"), reps_sql("lr", "id, hit", "id", 7, N_BOOT, "rr"))))
+       ", ".join((RAST, LOC, loc_sql("ev", "model", "la"), loc_sql("rnd", "random", "lr"), reps_sql("la", "id, hit", "id", 7, N_BOOT_MEAN, "ra"), reps_sql("lr", "id, hit", "id", 7, N_BOOT_MEAN, "rr"))))
 def _report(v):
     d, out = located(v), None
     for column, tag in (("ev", "model"), ("rnd", "random")):
         s = G.localization_scores(d, evidence=column)
         hits = s.withColumn("h", F.col("hit").cast("double"))
-        interval = B.bootstrap_mean_ci(hits, [], "h", N_BOOT).select(F.col("mean_lo").alias("hit_lo"), F.col("mean_hi").alias("hit_hi"))
+        interval = B.bootstrap_mean_ci(hits, [], "h", N_BOOT_MEAN).select(F.col("mean_lo").alias("hit_lo"), F.col("mean_hi").alias("hit_hi"))
         one = G.localization_summary(s, tag).join(interval)
         out = one if out is None else out.unionByName(one)
     return rounded(out, "hit_rate", "miou_topk", "miou_fixed", "hit_lo", "hit_hi")

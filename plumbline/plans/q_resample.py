@@ -16,7 +16,8 @@ from plumbline.plans.q_splits import RECAL, srank
 from plumbline.plans.registry import query
 from plumbline.plans.views import su
 
-N_BOOT = 200
+N_BOOT = 2000
+N_BOOT_MEAN = 1000
 
 
 def reps_sql(table: str, columns: str, key: str, seed: int, n: int = N_BOOT, name: str = "rb") -> str:
@@ -58,9 +59,9 @@ coalesce(max(tpr0 + (tpr-tpr0)/(fpr-fpr0)*((1-0.7e0)-fpr0)) FILTER (fpr0 <= 1-0.
 (SELECT {ci('auc', 'auc')}, {ci('pauc', 'pauc')}, {ci('sens', 'sens')} FROM (SELECT rep, sum(np*(alln-fp+nn/2e0))/nullif(max(allp)::DOUBLE*max(alln),0) AS auc,
 0.5e0*(1+(coalesce(sum((least(fpr,0.2e0)-fpr0)*(tpr0 + tpr0 + (tpr-tpr0)*(least(fpr,0.2e0)-fpr0)/(fpr-fpr0))/2e0) FILTER (fpr > fpr0 AND fpr0 < 0.2e0), 0)-0.02e0)/0.18e0) AS pauc,
 coalesce(max(tpr0 + (tpr-tpr0)/(fpr-fpr0)*((1-0.7e0)-fpr0)) FILTER (fpr0 <= 1-0.7e0 AND fpr > 1-0.7e0), 1e0) AS sens FROM w1 GROUP BY rep) WHERE auc IS NOT NULL)""",
-       "scored", SP + ", " + ROC.format(k="0", s="logit", t="sp") + ", " + reps_sql("scored", "grp, label, logit", "grp", 11, 100) + ", " + rep_roc("rb", "0", "logit", "1"))
+       "scored", SP + ", " + ROC.format(k="0", s="logit", t="sp") + ", " + reps_sql("scored", "grp, label, logit", "grp", 11) + ", " + rep_roc("rb", "0", "logit", "1"))
 def _group(v):
-    out = B.group_bootstrap(v.scored, n_boot=100)
+    out = B.group_bootstrap(v.scored, n_boot=N_BOOT)
     return rounded(out, "auc", "pauc", "sens_at_spec", "auc_lo", "auc_hi", "pauc_lo", "pauc_hi", "sens_lo", "sens_hi")
 
 
@@ -74,10 +75,10 @@ def _rate(v):
 
 @query("bootstrap_mean_ci", f"""SELECT lang, n, round(p0.mean, 6) AS mean, mean_lo, mean_hi FROM (SELECT lang, avg(x) AS mean, count(*) AS n FROM mv GROUP BY lang) p0
 JOIN (SELECT lang, {ci('mean', 'mean')} FROM (SELECT lang, rep, sum(w*x)/sum(w) AS mean FROM rb GROUP BY ALL) GROUP BY lang) USING (lang)""", "scored",
-       f"mv AS (SELECT lang, id, logit AS x FROM scored WHERE {su('gap', 'id')} >= 0.2e0), " + reps_sql("mv", "lang, id, x", "id", 7))
+       f"mv AS (SELECT lang, id, logit AS x FROM scored WHERE {su('gap', 'id')} >= 0.2e0), " + reps_sql("mv", "lang, id, x", "id", 7, N_BOOT_MEAN))
 def _mean(v):
     d = v.scored.withColumn("x", F.when(unit("gap", "id") >= 0.2, F.col("logit")))
-    return rounded(B.bootstrap_mean_ci(d, ["lang"], "x", N_BOOT), "mean", "mean_lo", "mean_hi")
+    return rounded(B.bootstrap_mean_ci(d, ["lang"], "x", N_BOOT_MEAN), "mean", "mean_lo", "mean_hi")
 
 
 PAIR = "pr AS (SELECT a.id, a.label, a.logit, b.logit AS logit_b FROM scored a JOIN scored_b b USING (id))"

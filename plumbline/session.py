@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # checkpoints go with the frames that read them; else the shared folder only grows
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
