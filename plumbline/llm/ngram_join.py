@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.llm.common import settle
 from plumbline.llm.components import connected_components
@@ -28,6 +28,7 @@ SMALL = 128
 _VIEW = np.array([0, 0, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
 #: Bits of the filter that keeps most other cases from being read twice; a full one only lets more through.
 FILTER_BITS = 1 << 27
+_CELLS = "array<struct<low:int,i:int,j:int,next:boolean,side:int>>"
 #: Weight of a binary probe against a step of the heap, as DivideSkip has it.
 PROBE = 0.01
 
@@ -330,9 +331,8 @@ def divide_skip(queries: list[int], index: list[int], sets: list[np.ndarray], pe
 def _join_cell(percent: int):
     def run(rows: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in rows.column("grams").to_pylist()]
-        ids, block = rows.column("id").to_pylist(), rows.column("block").to_pylist()
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        left, right = [r for r, b in enumerate(block) if b == i], [r for r, b in enumerate(block) if b == j]
+        ids, side = rows.column("id").to_pylist(), rows.column("side").to_pylist()
+        left, right = [r for r, s in enumerate(side) if s < 2], [r for r, s in enumerate(side) if s > 0]
         found = divide_skip(left, right, sets, percent)
         return pa.table({"a": pa.array([ids[a] for a, _ in found], pa.int64()), "b": pa.array([ids[b] for _, b in found], pa.int64())})
 
@@ -370,18 +370,43 @@ def neighbourhoods(sets: DataFrame, percent: int) -> DataFrame:
 def verified_links(sets: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     """a, b: links of a spanning forest between the cases of each neighbourhood.
 
-    A neighbourhood is cut into blocks; each pair of its blocks is one group, searched with
-    an index of the one block. So no task holds more than two blocks, however large a neighbourhood is.
-    Blocks are dealt out on ids and sizes; sets join them once.
+    A neighbourhood is cut by size into bands as wide as a link allows, and a band by hash into blocks.
+    A block meets the blocks of its own band and of the next; each such pair of blocks is
+    one group, searched with an index of the one. So no task holds more than two blocks, however large a
+    neighbourhood is. Blocks are dealt out on ids and sizes; sets join them once.
     """
+    # a little narrower than exact, so that rounding never parts a link by two bands
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) * F.lit(1 - 1e-6)).cast("int")
     members = sets.select("id", "n").join(units.select(F.col("node").alias("id"), F.col("root").alias("unit")), "id")
-    weight = members.groupBy("unit").agg(F.count(F.lit(1)).alias("cases"), F.sum("n").alias("all"))
-    blocks = F.greatest(F.ceil(F.col("cases") / BLOCK_CASES), F.ceil(F.col("all") / BLOCK_GRAMS)).cast("int")
-    dealt = members.select("id", "unit").distinct().join(weight.select("unit", blocks.alias("blocks")), "unit")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    cells = sets.select("id", "grams").join(dealt, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "grams")
-    return cells.groupBy("unit", "i", "j").applyInArrow(_join_cell(percent), "a long, b long")
+    members = members.select("id", "n", "unit", band.alias("band"))
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CASES), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
+    blocks = settle(members.groupBy("unit", "band").agg(size.alias("own")))
+    above = blocks.select("unit", (F.col("band") - 1).alias("band"), F.col("own").alias("above"))
+    below = blocks.select("unit", (F.col("band") + 1).alias("band"), F.col("own").alias("below"))
+    near = blocks.join(above, ["unit", "band"], "left").join(below, ["unit", "band"], "left")
+    dealt = members.select("id", "unit", "band").distinct().join(near, ["unit", "band"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("own")).cast("int"))
+
+    def cells(count: str, cell) -> Column:
+        """A group for each block of a band: (lower band, its block, the other's block, whether bands differ, the side)."""
+        each = F.sequence(F.lit(0), F.coalesce(count, F.lit(0)) - 1)
+        return F.when(F.coalesce(count, F.lit(0)) > 0, F.transform(each, cell)).otherwise(F.array().cast(_CELLS))
+
+    me, here = F.col("block"), F.col("band")
+
+    def cell(low: Column, i: Column, j: Column, next_: bool, side: Column) -> Column:
+        return F.struct(low.alias("low"), i.alias("i"), j.alias("j"), F.lit(next_).alias("next"), side.cast("int").alias("side"))
+
+    def inside(x: Column) -> Column:  # side 0 is searched for, 2 is the index, 1 is both
+        return cell(here, F.least(me, x), F.greatest(me, x), False, F.when(x == me, 1).when(me < x, 0).otherwise(2))
+
+    groups = F.concat(
+        cells("own", inside),
+        cells("above", lambda x: cell(here, me, x, True, F.lit(0))),
+        cells("below", lambda x: cell(here - 1, x, me, True, F.lit(2))),
+    )
+    placed = dealt.select("id", "unit", F.inline(groups))
+    return sets.select("id", "grams").join(placed, "id").groupBy("unit", "low", "i", "j", "next").applyInArrow(_join_cell(percent), "a long, b long")
 
 
 def link_cases(cases: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
