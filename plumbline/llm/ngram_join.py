@@ -21,7 +21,7 @@ SHINGLE, PERCENT = 5, 80
 FREQUENT = 1 << 16
 COUNT_BLOCK = 4_000_000
 #: A block of a neighbourhood: so many cases, or so many n-grams, and a little more.
-BLOCK_CASES, BLOCK_GRAMS = 256, 500_000
+BLOCK_CASES, BLOCK_GRAMS = 512, 1_000_000
 BYTES_PER_STEP = 4_000_000
 #: Sets up to this size are looked up by all their n-grams.
 SMALL = 128
@@ -380,7 +380,7 @@ def verified_links(sets: DataFrame, units: DataFrame, percent: int) -> DataFrame
     members = sets.select("id", "n").join(units.select(F.col("node").alias("id"), F.col("root").alias("unit")), "id")
     members = members.select("id", "n", "unit", band.alias("band"))
     size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CASES), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
-    blocks = settle(members.groupBy("unit", "band").agg(size.alias("own")))
+    blocks = settle(members.groupBy("unit", "band").agg(size.alias("own"), F.count_distinct("id").alias("cases")))
     above = blocks.select("unit", (F.col("band") - 1).alias("band"), F.col("own").alias("above"))
     below = blocks.select("unit", (F.col("band") + 1).alias("band"), F.col("own").alias("below"))
     near = blocks.join(above, ["unit", "band"], "left").join(below, ["unit", "band"], "left")
@@ -401,7 +401,7 @@ def verified_links(sets: DataFrame, units: DataFrame, percent: int) -> DataFrame
         return cell(here, F.least(me, x), F.greatest(me, x), False, F.when(x == me, 1).when(me < x, 0).otherwise(2))
 
     groups = F.concat(
-        cells("own", inside),
+        F.when(F.col("cases") > 1, cells("own", inside)).otherwise(F.array().cast(_CELLS)),  # one case alone has nobody to meet
         cells("above", lambda x: cell(here, me, x, True, F.lit(0))),
         cells("below", lambda x: cell(here - 1, x, me, True, F.lit(2))),
     )
