@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumbline.functions.hashing import unit
 from plumbline.functions.maths import col
 
-UNIT_BUCKETS = 1024
-STEPS_PER_OCTAVE = 256
+UNIT_BUCKETS = 16384
+STEPS_PER_OCTAVE = 4096
+ID_STEPS = 1 << 20
 BEYOND = 1 << 29
 
 
@@ -33,7 +34,8 @@ def unit_bucket(u, buckets: int = UNIT_BUCKETS) -> Column:
 def value_bucket(x, steps: int = STEPS_PER_OCTAVE) -> Column:
     """Monotone bucket of any number: octave by exponent, cut into equal steps.
 
-    log2 may be off by one next to a power of two. The formula is continuous in
+    Between a half and one it is the distance to one that is cut so, since confident
+    scores crowd there. log2 may be off by one next to a power of two. The formula is continuous in
     the exponent, so the bucket order still follows the value order. Values below
     2^-40 in magnitude share the zero bucket. Infinities and NaN have buckets of
     their own beyond the finite ones, NaN last as in a sort; NULL has none.
@@ -41,17 +43,30 @@ def value_bucket(x, steps: int = STEPS_PER_OCTAVE) -> Column:
     whole = col(x).cast("double")
     finite = ~F.isnan(whole) & (F.abs(whole) < F.lit(float("inf")))
     x = F.when(finite, whole)
-    tiny = 2.0**-40
-    e = F.floor(F.log2(F.abs(x)))
-    mag = (e + F.lit(40.0)) * F.lit(float(steps)) + F.floor(
-        (F.abs(x) / F.pow(F.lit(2.0), e.cast("double")) - F.lit(1.0)) * F.lit(float(steps))
-    )
+    tiny, n = 2.0**-40, F.lit(float(steps))
+    a = F.abs(x)
+
+    def cut(v: Column) -> tuple[Column, Column]:
+        """Octave of a value and its step in it."""
+        e = F.floor(F.log2(v))
+        return e, F.floor((v / F.pow(F.lit(2.0), e.cast("double")) - F.lit(1.0)) * n)
+
+    octave, step = cut(a)
+    below = (octave + F.lit(40.0)) * n + step
+    gap, back = cut(F.greatest(F.lit(1.0) - a, F.lit(tiny)))
+    near_one = (F.lit(38.0) - gap) * n + (n - F.lit(1.0) - back)
+    mag = F.when(a < F.lit(0.5), below).when(a < F.lit(1.0), near_one).otherwise(below + F.lit(40.0) * n)
     mag = F.greatest(mag, F.lit(0.0)) + F.lit(1.0)
     inside = F.when(F.abs(x) < F.lit(tiny), F.lit(0)).otherwise(F.signum(x) * mag).cast("int")
     beyond = F.when(F.isnan(whole), F.lit(2 * BEYOND)).when(whole > 0, F.lit(BEYOND)).otherwise(F.lit(-BEYOND))
     return F.when(finite, inside).when(whole.isNotNull(), beyond)
 
 
+def id_bucket(x) -> Column:
+    """Bucket of row ids and other dense whole numbers: a million steps an octave."""
+    return value_bucket(x, ID_STEPS)
+
+
 def _null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
     cond = F.lit(True)
     for a, b in pairs:

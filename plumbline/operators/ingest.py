@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import constants as K
 from plumbline.functions.maths import col
-from plumbline.functions.ranking import ranked, value_bucket
+from plumbline.functions.ranking import id_bucket, ranked
 
 IMAGE_NAME = r"(?i)\.(png|jpe?g|bmp)$"
 
@@ -164,7 +164,7 @@ def expand_findings(df: DataFrame, index_col: str, names: Sequence[str] = K.FIND
 
 def capped_ingest(df: DataFrame, is_normal: Column, target: int, normal_frac: float, order: str = "id") -> DataFrame:
     """Scan-order rows until the per-class caps: normal target * frac, abnormal target."""
-    r = ranked(df.withColumn("__normal", is_normal), ["__normal"], [order], value_bucket(order), "__rn")
+    r = ranked(df.withColumn("__normal", is_normal), ["__normal"], [order], id_bucket(order), "__rn")
     cap = F.when(F.col("__normal"), F.lit(int(target * normal_frac))).otherwise(F.lit(target))
     return r.filter(F.col("__rn") <= cap).drop("__rn", "__normal")
 

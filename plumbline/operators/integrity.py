@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.maths import col
-from plumbline.functions.ranking import ranked, value_bucket
+from plumbline.functions.ranking import id_bucket, ranked
 from plumbline.functions.skew import skew_attach
 from plumbline.session import settle, spread_small
 
@@ -249,7 +249,7 @@ def provenance_clusters(sigs: DataFrame, ident: str = "id", threshold: int = THR
     comps = settle(signature_components(reps, threshold))
     named = reps.join(comps, "rep")
     first = named.groupBy("root").agg(F.min("rep").alias("first"))
-    numbered = ranked(first, [], ["first"], value_bucket("first"), "__rn").select(
+    numbered = ranked(first, [], ["first"], id_bucket("first"), "__rn").select(
         "root", (F.col("__rn") - 1).alias("cluster")
     )
     table = named.join(numbered, "root").select(

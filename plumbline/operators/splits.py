@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.hashing import unit
-from plumbline.functions.ranking import ranked, running_totals, shuffled_rank, unit_bucket, value_bucket
+from plumbline.functions.ranking import id_bucket, ranked, running_totals, shuffled_rank, unit_bucket
 from plumbline.functions.skew import skew_attach
 
 
@@ -153,7 +153,7 @@ def grouped_half_split(df: DataFrame, group: str = "grp", seed: int = 0, ident:
 
 def parity_split(df: DataFrame, label: str = "label", order: str = "id") -> DataFrame:
     """Within each class, even position -> CAL, odd -> TST."""
-    r = ranked(df, [label], [order], value_bucket(order), "__rn")
+    r = ranked(df, [label], [order], id_bucket(order), "__rn")
     return r.withColumn("half", F.when((F.col("__rn") - 1) % 2 == 0, "CAL").otherwise("TST")).drop("__rn")
 
 
@@ -226,6 +226,6 @@ def disjoint(pool: DataFrame, test: DataFrame, ident: str = "id") -> DataFrame:
 def fresh_groups(base: DataFrame, added: DataFrame, group: str = "grp", ident: str = "id") -> DataFrame:
     """Append rows under group ids past the existing maximum, one new group per added row."""
     top = base.agg(F.coalesce(F.max(group), F.lit(-1)).alias("m"))
-    numbered = running_totals(added, [], [ident], value_bucket(ident), {"__rn": F.lit(1)})
+    numbered = running_totals(added, [], [ident], id_bucket(ident), {"__rn": F.lit(1)})
     renamed = numbered.withColumn(group, (F.col("__rn") + top.scalar()).cast("bigint")).drop("__rn")
     return base.unionByName(renamed, allowMissingColumns=True)

@@ -324,3 +324,44 @@ def test_sinks_round_trip(spark, tmp_path):
 
     lines = T.read_label_lines(spark, str(tmp_path / "labels.csv"))
     assert [(r.filename, r.label) for r in read_label_lines(lines).collect()] == [("a.png", 0)]
+
+
+def test_value_bucket_is_monotone_and_even(spark):
+    rng = np.random.default_rng(5)
+    edges = [0.0, 0.5, 1.0, 2.0**-40, 2.0**-41, 0.25, 3.0, 1e300, 5e-324]
+    near = [np.nextafter(e, t) for e in edges for t in (-np.inf, np.inf)]
+    draws = [*rng.normal(size=3000), *rng.random(3000), *(1 - rng.random(3000) * 1e-3), *rng.integers(-9, 9, 200), *edges, *near]
+    values = sorted({float(x) for x in [*draws, *[-x for x in draws]]})
+    rows = [(x,) for x in [*values, math.inf, -math.inf, math.nan, None]]
+    out = spark.createDataFrame(rows, "x double").withColumn("b", ranking.value_bucket("x")).collect()
+    of = {repr(r.x): r.b for r in out}
+    in_order = [of[repr(x)] for x in [-math.inf, *values, math.inf, math.nan]]
+    assert in_order == sorted(in_order) and of["None"] is None
+    assert in_order[0] < in_order[1] and in_order[-3] < in_order[-2] < in_order[-1]
+
+
+def test_crowded_scores_and_ids_have_small_buckets(spark):
+    crowded = spark.range(50_000).select(F.when(F.col("id") % 10 > 0, 1 - F.rand(3) * 1e-3).otherwise(F.rand(4)).alias("x"))
+    ids = spark.range(10**9, 10**9 + 50_000).select(F.col("id").cast("double").alias("x"))
+    for df, bucket, most in ((crowded, ranking.value_bucket("x"), 60), (ids, ranking.id_bucket("x"), 1_100)):
+        sizes = df.groupBy(bucket.alias("b")).count()
+        assert sizes.agg(F.max("count")).first()[0] <= most
+
+
+def test_scores_that_are_no_numbers_take_no_position(spark):
+    rows = [(i, 0.2 + 0.0075 * i if i < 100 else 0.05 + 0.0055 * (i - 100), int(i < 100)) for i in range(200)]
+    plain = spark.createDataFrame(rows, "id long, p double, label int")
+    odd = spark.createDataFrame([(300 + i, x, 1) for i, x in enumerate([None, math.nan] * 40)], "id long, p double, label int")
+    whole = plain.unionByName(odd)
+    assert C.conformal_thresholds(whole, []).collect() == C.conformal_thresholds(plain, []).collect()
+    take = lambda df: one(M.threshold_for_sensitivity_quantile(df, [], "p"))
+    assert take(whole) == take(plain)
+    assert C.safety_threshold(whole, []).collect() == C.safety_threshold(plain, []).collect()
+    assert one(M.auc(whole, [], "p")) == one(M.auc(plain, [], "p"))
+
+
+def test_infinite_scores_keep_their_order(spark):
+    rows = [(0, -math.inf, 0), (1, 0.5, 0), (2, 0.7, 1), (3, math.inf, 1), (4, math.inf, 0)]
+    df = spark.createDataFrame(rows, "id long, score double, label int")
+    assert one(M.auc(df, []))["auc"] == pytest.approx((2 + 2.5) / 6)
+    assert one(M.threshold_for_sensitivity_quantile(df, []))["threshold"] == 0.7
