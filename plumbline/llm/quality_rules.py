@@ -91,7 +91,7 @@ def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
 def certified_cutoffs(
     labelled: DataFrame,
     stratum: str = "source",
-    max_false_rejection: float = 0.05,
+    max_false_rejection: float = 0.02,
     confidence: float = 0.95,
     max_holdout: int = 200_000,
 ) -> DataFrame:

@@ -62,7 +62,7 @@ def test_cutoffs_are_the_strictest_that_pass(spark):
         rows.append((i, source, label, 50, 200 if i % 3 else 300, symbols, 10, draw.choice([0, 0, 1]), draw.choice([0, 2, 6])))
     rows.append((5000, "few", 1, 50, 200, 0, 10, 0, 0))
     share, error = 0.05 / len(qr.LADDERS), math.log(0.05 / (4 * len(qr.LADDERS)))
-    got = {(r["source"], r["rule"]): (r["cutoff"], r["n_good"], r["rejected"]) for r in qr.certified_cutoffs(statistics(spark, rows)).collect()}
+    got = {(r["source"], r["rule"]): (r["cutoff"], r["n_good"], r["rejected"]) for r in qr.certified_cutoffs(statistics(spark, rows), max_false_rejection=0.05).collect()}
     rate = {
         "symbol_rate": lambda r: r[5] / r[4], "dup_line_rate": lambda r: r[7] / r[6],
         "repeat_word_rate": lambda r: r[8] / r[3], "mean_word_length": lambda r: r[4] / r[3],
