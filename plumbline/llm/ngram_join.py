@@ -14,15 +14,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.llm.common import settle
 from plumbline.llm.components import connected_components
-from plumbline.llm.word_ids import text_slices
+from plumbline.llm.word_ids import release_memory, text_slices
 
 SHINGLE, PERCENT = 5, 80
 #: N-grams known as frequent are counted as shared at once and never shuffled. The number never changes a result.
 FREQUENT = 1 << 16
-COUNT_BLOCK = 4_000_000
+COUNT_BLOCK = 1_000_000
 #: A block of a neighbourhood: so many cases, or so many n-grams, and a little more.
 BLOCK_CASES, BLOCK_GRAMS = 512, 1_000_000
-BYTES_PER_STEP = 4_000_000
+BYTES_PER_STEP = 2_000_000
 #: Sets up to this size are looked up by all their n-grams.
 SMALL = 128
 _VIEW = np.array([0, 0, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
@@ -140,6 +140,7 @@ def _measure(size: int):
             )
         if kept:
             yield often()
+        release_memory()
 
     return run
 
@@ -176,6 +177,7 @@ def _keys(size: int, percent: int, frequent: np.ndarray):
             if owners:
                 owner, key, need = map(np.concatenate, (owners, keys, needs))
                 yield pa.RecordBatch.from_pydict({"owner": owner, "key": key, "need": need})
+        release_memory()
 
     return run
 
@@ -191,6 +193,7 @@ def _whole_sets(size: int, bits: np.ndarray):
             sets = list(ngram_sets(batch.column("rationale"), size))
             n, raw = pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), n, raw], ["id", "n", "grams"])
+        release_memory()
 
     return run
 

@@ -51,3 +51,8 @@ def text_slices(texts: pa.StringArray, most: int) -> Iterator[tuple[int, pa.Stri
         held += size
     if len(sizes) > since:
         yield since, texts.slice(since)
+
+
+def release_memory() -> None:
+    """Give memory that Arrow holds for later back at the end of a task: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
