@@ -126,13 +126,18 @@ def _topk(v):
 'decided_at_threshold: 0.6105' || chr(10) || 's_inactive (under T_seq=1.131): ' || printf('%.4f', s_inactive) ||
 CASE WHEN id % 4 = 0 THEN chr(10) || 'safety_net_applied: scar' ELSE '' END || chr(10) || 'per-zone probabilities:' || chr(10) || CASE WHEN box_max > path_max OR box_max = path_max AND 'hilar' < 'upper_r'
 THEN '  hilar: ' || printf('%.4f', box_max) || chr(10) || '  upper_r: ' || printf('%.4f', path_max) ELSE '  upper_r: ' || printf('%.4f', path_max) || chr(10) || '  hilar: ' || printf('%.4f', box_max) END ||
-CASE WHEN id % 3 = 0 THEN chr(10) || 'preprocessing warnings:' || chr(10) || '  - ' || lang ELSE '' END AS digest FROM signals""", "signals")
+CASE WHEN id % 5 <> 0 THEN chr(10) || 'top-5 findings:' || (SELECT string_agg(chr(10) || '  ' || k || ': ' || printf('%.4f', x), '' ORDER BY x DESC, k) FROM (
+SELECT k, x FROM (VALUES ('Effusion', tb_prob), ('Fibrosis', s_inactive), ('Mass', box_max), ('Nodule', path_max), ('Edema', 1 - tb_prob), ('Hernia', 1 - box_max)) e(k, x)
+ORDER BY x DESC, k LIMIT 5)) ELSE '' END || CASE WHEN id % 3 = 0 THEN chr(10) || 'preprocessing warnings:' || chr(10) || '  - ' || lang ELSE '' END AS digest FROM signals""", "signals")
 def _digest(v):
     d = v.signals.select(
         "id", F.when(F.col("tb_prob") >= 0.6105, "tb").otherwise("no_tb").alias("verdict"), F.lit(1.5914955557).alias("t"), F.lit(1.1313).alias("t_seq"),
         "tb_prob", F.lit(0.6105).alias("threshold"), "s_inactive", F.when(F.col("id") % 4 == 0, "scar").alias("safety_net"),
         F.create_map(F.lit("hilar"), "box_max", F.lit("upper_r"), "path_max").alias("zones"),
-        F.expr("cast(map() as map<string,double>)").alias("findings"),
+        F.when(F.col("id") % 5 != 0, F.create_map(
+            F.lit("Effusion"), "tb_prob", F.lit("Fibrosis"), "s_inactive", F.lit("Mass"), "box_max", F.lit("Nodule"), "path_max",
+            F.lit("Edema"), 1 - F.col("tb_prob"), F.lit("Hernia"), 1 - F.col("box_max"),
+        )).otherwise(F.expr("cast(map() as map<string,double>)")).alias("findings"),
         F.when(F.col("id") % 3 == 0, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("warnings"))
     return d.select("id", G.evidence_digest(d).alias("digest"))
 
