@@ -40,3 +40,15 @@ def rounded(df: DataFrame, *names: str, digits: int = DIGITS) -> DataFrame:
     for n in names:
         df = df.withColumn(n, F.round(n, digits))
     return df
+
+
+def exact_bounds(pairs: str, name: str = "exact") -> str:
+    """CTEs {name}(k, n, lo, hi): Clopper-Pearson bounds of the (k, n) of `pairs`, by bisection over binomial tails."""
+    term = "exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))"
+    return f"""{name}_kn AS (SELECT DISTINCT k, n FROM ({pairs}) WHERE n > 0),
+{name}_cut(k, n, side, lo, hi, i) AS (SELECT k, n, side, 0e0, 1e0, 0 FROM {name}_kn, (VALUES ('lo'), ('hi')) s(side) UNION ALL
+SELECT k, n, side, CASE WHEN low THEN p ELSE lo END, CASE WHEN low THEN hi ELSE p END, i + 1 FROM (SELECT *, CASE WHEN side = 'lo'
+THEN (SELECT sum({term}) FROM range(k, n + 1) r(j)) < 0.025e0 ELSE (SELECT sum({term}) FROM range(0, k + 1) r(j)) > 0.025e0 END AS low
+FROM (SELECT *, (lo + hi) / 2 AS p FROM {name}_cut WHERE i < 50))),
+{name} AS (SELECT k, n, max(CASE WHEN k = 0 THEN 0e0 ELSE lo END) FILTER (side = 'lo') AS lo,
+max(CASE WHEN k = n THEN 1e0 ELSE lo END) FILTER (side = 'hi') AS hi FROM {name}_cut WHERE i = 50 GROUP BY k, n)"""

@@ -9,7 +9,7 @@ from plumbline.functions.hashing import unit
 from plumbline.operators import audits as A
 from plumbline.operators import metrics as M
 from plumbline.operators import splits as S
-from plumbline.plans.common import ROC, SP, THR, rounded, with_p
+from plumbline.plans.common import ROC, SP, THR, exact_bounds, rounded, with_p
 from plumbline.plans.q_metrics import AUC_OF, LOCKED_SQL, SS, sbin, swilson
 from plumbline.plans.q_splits import quota_sql, srank
 from plumbline.plans.registry import query
@@ -39,7 +39,8 @@ def _strat(v):
     return strat(v)
 
 
-@query("stratified_fpr_exact_ci")
+@query("stratified_fpr_exact_ci", """SELECT strat.* REPLACE (round(lo, 6) AS fpr_lo, round(hi, 6) AS fpr_hi) FROM strat LEFT JOIN exact ON exact.k = n_fp AND exact.n = n_neg""",
+       "scored findings", SP + ", " + LIST + ", " + ECE_FIND + ", " + exact_bounds("SELECT n_fp AS k, n_neg AS n FROM strat"))
 def _strat_exact(v):
     return strat(v, exact=True)
 

@@ -8,7 +8,7 @@ from plumbline import constants as K
 from plumbline.functions import intervals
 from plumbline.functions.hashing import unit
 from plumbline.operators import metrics as M
-from plumbline.plans.common import LOW, ROC, SP, THR, rounded, with_p
+from plumbline.plans.common import LOW, ROC, SP, THR, exact_bounds, rounded, with_p
 from plumbline.plans.registry import query
 from plumbline.plans.views import su
 
@@ -141,7 +141,9 @@ def _sens_spec(v):
     return rounded(out.select("lang", "tp", "fn", "sens", "spec"), "sens", "spec")
 
 
-@query("clopper_pearson")
+@query("clopper_pearson", """SELECT lang, tp, n_pos, round(tp::DOUBLE / nullif(n_pos, 0), 6) AS sens, round(lo, 6) AS sens_lo, round(hi, 6) AS sens_hi
+FROM kn LEFT JOIN exact ON k = tp AND n = n_pos""", "scored", SP + f""", kn AS (SELECT lang, count(*) FILTER (p >= {THR} AND label = 1) AS tp,
+count(*) FILTER (label = 1) AS n_pos FROM sp GROUP BY lang), """ + exact_bounds("SELECT tp AS k, n_pos AS n FROM kn"))
 def _clopper(v):
     counts = M.sens_spec(M.confusion(with_p(v.scored), LANG, "p", "label", K.LOCKED_THR))
     counts = counts.withColumn("n_pos", F.col("tp") + F.col("fn"))
