@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline.session import settle
 
-__all__ = ["SPACES", "gapless_rank", "settle", "shared_folder", "spread_count", "words_of"]
+__all__ = ["SPACES", "bounded_batches", "gapless_rank", "settle", "shared_folder", "spread_count", "words_of"]
 
 #: ASCII white space, as one Java character class.
 SPACES = r"[\x20\x09-\x0D]+"
 
 ROWS_PER_BUCKET = 1_000
 MAX_BUCKETS = 4_096
+BATCH_BYTES = 8 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -44,6 +45,11 @@ def spread_count(rows: int) -> int:
     return max(1, min(MAX_BUCKETS, rows // ROWS_PER_BUCKET))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of some megabytes, not by rows: a row may be a very long text."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def gapless_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, buckets: int) -> DataFrame:
     """Number the rows of each key 0, 1, 2, ... without one task per key.
 

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline.llm.word_ids import release_memory
+
 #: N-grams of one to three characters are hashed to so many features.
 FEATURES = 1 << 13
 ORDERS = (1, 2, 3)
@@ -58,6 +60,7 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release_memory()
     met, rows = np.zeros(FEATURES, np.int64), 0
     for batch in batches:
         for text in batch.column("rationale").to_pylist():
@@ -125,11 +128,12 @@ def _fit(languages: list[str], idf: np.ndarray):
     number = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         rows = []
         for batch in batches:
             for draw, lang, text in zip(*(batch.column(c).to_pylist() for c in ("draw", "lang", "rationale")), strict=True):
                 at, values = weighted(grams(text), idf)
-                rows.append((draw, number[lang], np.append(at, FEATURES).astype(np.int32), np.append(values, 1.0).astype(np.float32)))
+                rows.append((draw, number[lang], np.append(at, FEATURES).astype(np.int16), np.append(values, 1.0).astype(np.float32)))
         rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
         held, train = rows[::5], [r for i, r in enumerate(rows) if i % 5]
         model = Ftrl(len(languages))
@@ -196,6 +200,7 @@ def fit_identifier(labelled: DataFrame, idf: np.ndarray) -> Identifier:
 
 def _predict(model: Identifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             said, score = zip(*map(model.say, batch.column("rationale").to_pylist()), strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(said, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
@@ -221,6 +226,7 @@ def identify_language(cases: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def _keep(model: Identifier, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             said = [model.say(t) for t in batch.column("rationale").to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in said], pa.bool_()))

@@ -19,8 +19,8 @@ LENGTH = 2_048
 #: Lengths are planned in steps of so many tokens; a pattern always holds the true lengths.
 UNIT = 8
 END_ID = 1
-CACHED_WORDS = 500_000
-BYTES_PER_STEP = 3_000_000
+CACHED_WORDS = 700_000
+BYTES_PER_STEP = 8_000_000
 MAX_PIVOTS = 5_000
 #: The linear solution is within this share of the best one: its value over the best pattern's is a lower bound.
 GAP = 5e-4
@@ -111,7 +111,7 @@ def _cut(path: str, length: int, end_id: int):
                 [batch.column("id").take(pa.array(row, pa.int32())), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(crc, pa.int64()), pa.array(whole, pa.int64())],
                 ["id", "start", "length", "ids_crc32", "doc_tokens"],
             )
-        release_memory()
+        release_memory(words.cache)
 
     return run
 

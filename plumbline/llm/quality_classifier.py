@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.common import settle
+from plumbline.llm.word_ids import release_memory
 
 #: What is measured of a whole text, in the order of the vector.
 STATISTICS = (
@@ -74,6 +75,7 @@ def text_statistics(text: str | None) -> np.ndarray:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release_memory()
     for batch in batches:
         x = np.array([text_statistics(t) for t in batch.column("rationale").to_pylist()]).reshape(-1, len(STATISTICS))
         lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(STATISTICS)).cast(pa.list_(pa.float64()))
@@ -169,6 +171,7 @@ def fit_discriminant(labelled: DataFrame, least: float = 0.05) -> Discriminant:
 
 def _score(model: Discriminant):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             x = batch.column("x").flatten().to_numpy().reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.scores(x))], ["id", "score"])
@@ -194,6 +197,7 @@ def score_cases(cases: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _keep(model: Discriminant, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             x = np.array([text_statistics(t) for t in batch.column("rationale").to_pylist()]).reshape(-1, len(STATISTICS))
             yield batch.filter(pa.array(model.scores(x) >= threshold))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+_caches: weakref.WeakSet[WordCache] = weakref.WeakSet()
+
+
 class WordCache:
     """Words met last and their ids as little-endian 32-bit bytes.
 
@@ -19,6 +23,7 @@ class WordCache:
     def __init__(self, learn: Callable[[list[str]], list[bytes]], limit: int) -> None:
         self.learn, self.limit = learn, limit
         self.words: dict[str, bytes] = {}
+        _caches.add(self)
 
     def ids(self, words: pa.Array, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text begins and the last ends. words: of all
@@ -53,6 +58,9 @@ def text_slices(texts: pa.StringArray, most: int) -> Iterator[tuple[int, pa.Stri
         yield since, texts.slice(since)
 
 
-def release_memory() -> None:
-    """Give memory that Arrow holds for later back at the end of a task: Python workers outlive their tasks."""
+def release_memory(keep: WordCache | None = None) -> None:
+    """Forget the words of other operators and give back what Arrow holds for later: Python workers outlive their tasks."""
+    for cache in list(_caches):
+        if cache is not keep:
+            cache.words.clear()
     pa.default_memory_pool().release_unused()
