@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm import language_id, ngram_join, packing, quality_classifier, unit_dedup
-from plumbline.llm.common import shared_folder
+from plumbline.llm.common import bounded_batches, shared_folder
 from plumbline.llm.queries import id_crc, quality_labels
 
 #: Documents as the cases the operators take, and back.
@@ -19,33 +19,38 @@ AS_CASES = {"doc_id": "id", "text": "rationale"}
 AS_DOCS = {"id": "doc_id", "rationale": "text"}
 
 
+def as_cases(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    return docs.withColumnsRenamed(AS_CASES)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes for good ones."""
-    kept = quality_classifier.keep_good_cases(docs.withColumnsRenamed(AS_CASES), quality_labels(spark, sf_dir))
+    kept = quality_classifier.keep_good_cases(as_cases(docs), quality_labels(spark, sf_dir))
     return kept.withColumnsRenamed(AS_DOCS)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a probability of at least a half."""
-    cases = docs.withColumnsRenamed(AS_CASES)
+    cases = as_cases(docs)
     kept = language_id.keep_known_languages(cases, cases.filter(id_crc("id") % 5 != 0))
     return kept.withColumnsRenamed(AS_DOCS)
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every group of near copies: five words, similarity 0.8."""
-    return ngram_join.one_of_each(docs.withColumnsRenamed(AS_CASES), 5, 80).withColumnsRenamed(AS_DOCS)
+    return ngram_join.one_of_each(as_cases(docs), 5, 80).withColumnsRenamed(AS_DOCS)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines and sentences that an earlier document has; n_chars follows the text."""
-    out = unit_dedup.drop_repeated_units(docs.withColumnsRenamed(AS_CASES)).drop("removed")
+    out = unit_dedup.drop_repeated_units(as_cases(docs)).drop("removed")
     return out.withColumnsRenamed(AS_DOCS).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
-    pieces = packing.pack_cases(docs.withColumnsRenamed(AS_CASES), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.pack_cases(as_cases(docs), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumnRenamed("id", "doc_id")
 
 
