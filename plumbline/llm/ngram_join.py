@@ -27,7 +27,7 @@ BYTES_PER_STEP = 2_000_000
 SMALL = 128
 _VIEW = np.array([0, 0, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
 #: Bits of the filter that keeps most other cases from being read twice; a full one only lets more through.
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 25
 _CELLS = "array<struct<low:int,i:int,j:int,next:boolean,side:int>>"
 #: Weight of a binary probe against a step of the heap, as DivideSkip has it.
 PROBE = 0.01
