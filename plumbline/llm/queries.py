@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.llm import byte_bpe, language_id, ngram_join, packing, quality_classifier, quality_rules, sharding, topk, unit_dedup, url_filter
-from plumbline.llm.common import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,7 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def narratives(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """`documents` as cases."""
-    bounded_batches(spark)
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("rationale"), *more)
 
 
