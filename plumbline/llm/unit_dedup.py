@@ -1,15 +1,17 @@
-"""Removal of lines and sentences that other case narratives already have."""
+"""Removal of lines, sentences and passages that other case narratives already have."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Shorter units are never removed: plain sentences of a few words meet by chance.
+#: Shorter units are never removed on their own: plain sentences of a few words meet by chance.
 MIN_WORDS = 8
 ROWS_PER_BATCH = 200_000
 
@@ -26,7 +28,35 @@ def normalised(unit: str) -> bytes:
     return b" ".join(unit.encode().lower().split())
 
 
-def _units(min_words: int):
+def sentence_units(text: str, min_words: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(start, end, words) of the units of at least `min_words` words."""
+    at = 0
+    for unit in cut_units(text):
+        words = unit.encode().lower().split()
+        if len(words) >= min_words:
+            yield at, at + len(unit), words
+        at += len(unit) + 1
+
+
+def passage_units(text: str, min_words: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """The same of the shortest runs of units with `min_words` words: from every unit on, and up to every unit.
+
+    A long unit is a run of its own. A run depends on its own words alone, so two equal passages of `min_words` words
+    or more are covered by equal runs, wherever they stand and however short their sentences and lines are.
+    """
+    units, at = [], 0
+    for unit in cut_units(text):
+        if words := unit.encode().lower().split():
+            units.append((at, at + len(unit), words))
+        at += len(unit) + 1
+    before = [0, *accumulate(len(words) for _, _, words in units)]
+    ahead = {(i, bisect_left(before, n + min_words) - 1) for i, n in enumerate(before[:-1]) if n + min_words <= before[-1]}
+    back = {(bisect_right(before, n - min_words) - 1, i) for i, n in enumerate(before[1:]) if n >= min_words}
+    for first, last in sorted(ahead | back):
+        yield units[first][0], units[last][1], list(chain.from_iterable(words for _, _, words in units[first : last + 1]))
+
+
+def _units(cut: Callable, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("rationale").to_pylist()
@@ -37,13 +67,9 @@ def _units(min_words: int):
                 return pa.RecordBatch.from_arrays(arrays, ["id", "start", "end", "digest"])
 
             for i, text in enumerate(texts):
-                at = 0
-                for unit in cut_units(text or ""):
-                    words = unit.encode().lower().split()
-                    if len(words) >= min_words:
-                        row.append(i), start.append(at), end.append(at + len(unit))
-                        digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    at += len(unit) + 1
+                for at, to, words in cut(text or "", min_words):
+                    row.append(i), start.append(at), end.append(to)
+                    digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 if len(row) >= ROWS_PER_BATCH:
                     yield flush()
                     row, start, end, digest = [], [], [], []
@@ -52,15 +78,23 @@ def _units(min_words: int):
     return run
 
 
-def case_units(cases: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Units of at least `min_words` words: id, start, end (code points in the whole rationale), digest (128 bits)."""
+def case_units(cases: DataFrame, min_words: int = MIN_WORDS, cut: Callable = sentence_units) -> DataFrame:
+    """Units, or with `passage_units` runs of them, of at least `min_words` words: id, start, end (code points in the whole rationale), digest (128 bits)."""
     kind = cases.schema["id"].dataType.simpleString()
-    return cases.select("id", "rationale").mapInArrow(_units(min_words), f"id {kind}, start long, end long, digest binary")
+    return cases.select("id", "rationale").mapInArrow(_units(cut, min_words), f"id {kind}, start long, end long, digest binary")
 
 
 def _place() -> Column:
     """The rank of an occurrence: cases without an id come last, then by id and place."""
-    return F.struct(F.col("id").isNull().alias("late"), F.col("id"), F.col("start"))
+    return F.struct(F.col("id").isNull().alias("late"), F.col("id"), F.col("start"), F.col("end"))
+
+
+def _repeated(units: DataFrame) -> DataFrame:
+    """The units behind the earliest ranked one of their digest, but for those that overlap it."""
+    first = units.groupBy("digest").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = units.join(first.select("digest", "first"), "digest")
+    later = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("start") < F.col("first.end")))
+    return met.filter(later).select("id", "start", "end", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
 
 
 def repeated_units(cases: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -76,36 +110,44 @@ def repeated_units(cases: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     id and text are one case: where it holds the first occurrence, all of them keep
     it. Very long texts are cut whole. Other columns are not carried. No cases: no rows.
     """
-    units = case_units(cases, min_words)
-    first = units.groupBy("digest").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.filter("n > 1").select("digest", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
-    met = units.join(first, "digest")
-    later = ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("start") == F.col("first_start")))
-    return met.filter(later).select("id", "start", "end", "first_id", "first_start")
+    return _repeated(case_units(cases, min_words))
+
+
+def repeated_passages(cases: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The same of the runs of `passage_units`, which also hold units of fewer words where their neighbours repeat too.
+
+    Spans can overlap one another, but never the occurrence that stays for them. Every unit in one has an earlier
+    copy in that occurrence, so of each text that goes a copy is left.
+    """
+    return _repeated(case_units(cases, min_words, passage_units))
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = batch.schema.get_field_index("rationale")
-        texts = []
-        for text, spans in zip(batch.column(at).to_pylist(), batch.column("removed").to_pylist(), strict=True):
+        at, on = batch.schema.get_field_index("rationale"), batch.schema.get_field_index("removed")
+        texts, removed = [], []
+        for text, spans in zip(batch.column(at).to_pylist(), batch.column(on).to_pylist(), strict=True):
             if text is not None and spans:
-                parts, since = [], 0
-                for s in sorted(spans, key=lambda x: x["start"]):
-                    parts.append(text[since : s["start"]])
-                    since = s["end"] + 1  # with the character that parts it from the next unit
-                text = "".join([*parts, text[since:]])
-            texts.append(text)
-        yield batch.set_column(at, "rationale", pa.array(texts, pa.string()))
+                parts, since, gone = [], 0, []
+                for s in sorted(spans, key=lambda x: (x["start"], x["end"])):
+                    start = max(since, s["start"])  # what an earlier span has is gone
+                    if start < s["end"]:
+                        parts.append(text[since:start])
+                        since = s["end"] + 1  # with the character that parts it from the next unit
+                        gone.append(s | {"start": start})
+                text, spans = "".join([*parts, text[since:]]), gone
+            texts.append(text), removed.append(spans)
+        batch = batch.set_column(at, "rationale", pa.array(texts, pa.string()))
+        yield batch.set_column(on, "removed", pa.array(removed, batch.schema.field(on).type))
 
 
 def drop_repeated_units(cases: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of `cases`, with `rationale` freed of `repeated_units` and `removed`: the
-    array of (start, end, first_id) of what went, as offsets in the original rationale, in order.
+    """All columns of `cases`, with `rationale` freed of the union of `repeated_passages` and `removed`: the array
+    of (start, end, first_id) of what went, disjoint, as offsets in the original rationale, in order.
 
     A case that loses all its units stays, with what is left. A column `removed` of the input is replaced.
     """
-    spans = repeated_units(cases, min_words).filter(F.col("id").isNotNull())
+    spans = repeated_passages(cases, min_words).filter(F.col("id").isNotNull())
     spans = spans.distinct().groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_id"))).alias("removed"))
     out = cases.drop("removed").join(spans, F.col("id") == F.col("__id"), "left").drop("__id")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)

@@ -59,3 +59,35 @@ def test_nulls_repeated_rows_and_no_rows(spark):
     got = unit_dedup.repeated_units(spark.createDataFrame(rows, "id long, rationale string")).collect()
     assert sorted((r["id"] is None, r["id"] or 0, r["first_id"]) for r in got) == [(False, 4, 3), (True, 0, 3)]
     assert unit_dedup.repeated_units(spark.createDataFrame([], "id long, rationale string")).count() == 0
+
+
+def test_passages_of_short_sentences(spark):
+    draw = random.Random(3)
+    line = " ".join(f"w{draw.randrange(99)} v{draw.randrange(99)} u{i}!!" for i in range(20))  # 60 words, three a sentence
+    block = "\n".join(f"a{i} b{draw.randrange(9)}" for i in range(30))  # 60 words, two a line
+    rows = [(1, f"Before one.\n{line}\nAfter."), (2, f"Other. {line}"), (3, f"Head.\n{block}\nTail."), (4, f"{block}\nEnd of four."), (5, "Ha. " * 40)]
+    got = {r["id"]: r for r in unit_dedup.drop_repeated_units(spark.createDataFrame(rows, "id long, rationale string").repartition(3)).collect()}
+    assert {i: got[i]["rationale"] for i in (1, 2, 3, 4)} == {1: rows[0][1], 2: "Other. ", 3: rows[2][1], 4: "End of four."}
+    assert got[5]["rationale"] == "Ha. " * 8  # the occurrence that stays is whole
+    for i, text in rows:
+        spans = got[i]["removed"] or []
+        assert all(a["end"] < b["start"] for a, b in zip(spans, spans[1:]))
+        assert len(got[i]["rationale"]) >= len(text) - sum(s["end"] + 1 - s["start"] for s in spans)
+
+
+def test_equal_passages_are_covered_whole():
+    draw = random.Random(12)
+    for _ in range(300):
+        part = lambda n: [" ".join(draw.choice("abc") for _ in range(draw.randint(1, 11))) + "." for _ in range(n)]
+        passage = part(draw.randint(1, 9))
+        digests, texts = [], []
+        for _ in range(2):
+            head, tail = part(draw.randint(0, 4)), part(draw.randint(0, 4))
+            texts.append((draw.choice(["\n", " "]).join([*head, *passage, *tail]), sum(len(x) + 1 for x in head)))
+            digests.append({tuple(w) for _, _, w in unit_dedup.passage_units(texts[-1][0], 8)})
+        if len(" ".join(passage).split()) >= 8:
+            text, at = texts[1]
+            seen = set()
+            for a, b, words in unit_dedup.passage_units(text, 8):
+                seen |= set(range(a, b + 1)) if tuple(words) in digests[0] else set()
+            assert set(range(at, at + len(" ".join(passage)))) <= seen
