@@ -196,21 +196,33 @@ def _keys(size: int, percent: int, frequent: np.ndarray):
 
 
 def _whole_sets(size: int, bits: np.ndarray):
-    """Sets of the cases that the filter lets through; the text of the others is not looked at."""
+    """Sets of the cases that the filter lets through, each once a task; the text of the others is not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
         for batch in batches:
-            ids = batch.column("id").fill_null(-1).to_numpy()
-            at = filter_places(ids)
+            batch = batch.filter(batch.column("id").is_valid())
+            at = filter_places(batch.column("id").to_numpy())
             batch = batch.filter(pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
-            sets = list(ngram_sets(batch.column("rationale"), size))
-            n, raw = pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), n, raw], ["id", "n", "grams"])
+            sets = {number: grams for grams in ngram_sets(batch.column("rationale"), size) if len(grams) and (number := class_number(grams)) not in done}
+            done |= sets.keys()
+            n, raw = pa.array([len(s) for s in sets.values()], pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), n, raw], ["class", "n", "grams"])
         release_memory()
 
     return run
 
 
+def _each_class_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done = set()
+    for batch in batches:
+        fresh = []
+        for number in batch.column("class").to_pylist():
+            fresh.append(number not in done)
+            done.add(number)
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+
+
 def filter_places(ids: np.ndarray) -> np.ndarray:
     """The bit of each id in a filter of FILTER_BITS."""
     return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) % FILTER_BITS
@@ -238,7 +250,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 def _view_keys(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, number, view, key, most = batch.column("id").to_pylist(), [], [], [], []
+            ids, number, view, key, most = batch.column("class").to_pylist(), [], [], [], []
             for i, raw in zip(ids, batch.column("grams").to_pylist(), strict=True):
                 grams = np.frombuffer(raw, np.uint64)
                 for v, keys in views(grams, percent):
@@ -247,7 +259,7 @@ def _view_keys(percent: int):
                     key.append(keys.view(np.int64))
                     most.append(np.full(len(keys), most_missing(len(grams), percent) + 1, np.int32))
             if number:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (number, view, key, most)], ["id", "view", "key", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (number, view, key, most)], ["class", "view", "key", "prefix"])
 
     return run
 
@@ -347,7 +359,7 @@ def divide_skip(queries: list[int], index: list[int], sets: list[np.ndarray], pe
 def _join_cell(percent: int):
     def run(rows: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in rows.column("grams").to_pylist()]
-        ids, side = rows.column("id").to_pylist(), rows.column("side").to_pylist()
+        ids, side = rows.column("class").to_pylist(), rows.column("side").to_pylist()
         left, right = [r for r, s in enumerate(side) if s < 2], [r for r, s in enumerate(side) if s > 0]
         found = divide_skip(left, right, sets, percent)
         return pa.table({"a": pa.array([ids[a] for a, _ in found], pa.int64()), "b": pa.array([ids[b] for _, b in found], pa.int64())})
@@ -370,38 +382,38 @@ def linkable(cases: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
 
 
 def neighbourhoods(sets: DataFrame, percent: int) -> DataFrame:
-    """node, root: cases whose rarest keys meet, directly or through others.
+    """node, root: classes whose rarest keys meet, directly or through others.
 
-    sets: id, grams. In every view a case keeps one key more than it can lack, the rarest among the
-    given cases first; two linked cases then have one in common. Each key ties its
-    cases to the least of them. Counts combine on the map side; frequent keys are split by the join.
+    sets: class, grams, a row for each class. In every view a class keeps one key more than it can lack, the rarest among the
+    given classes first; two linked ones then have one in common. Each key ties its
+    classes to the least of them. Counts combine on the map side; frequent keys are split by the join.
     """
-    keys = sets.mapInArrow(_view_keys(percent), "id long, view byte, key long, prefix int")
-    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"))
-    rarest = Window.partitionBy("id", "view").orderBy("n", "key")
+    keys = sets.mapInArrow(_view_keys(percent), "class long, view byte, key long, prefix int")
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("hub"))
+    rarest = Window.partitionBy("class", "view").orderBy("n", "key")
     first = keys.join(often, "key").withColumn("__at", F.row_number().over(rarest)).filter("__at <= prefix and n > 1")
-    return connected_components(first.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    return connected_components(first.select(F.col("class").alias("a"), F.col("hub").alias("b")))
 
 
 def verified_links(sets: DataFrame, units: DataFrame, percent: int) -> DataFrame:
-    """a, b: links of a spanning forest between the cases of each neighbourhood.
+    """a, b: links of a spanning forest between the classes of each neighbourhood.
 
     A neighbourhood is cut by size into bands as wide as a link allows, and a band by hash into blocks.
     A block meets the blocks of its own band and of the next; each such pair of blocks is
     one group, searched with an index of the one. So no task holds more than two blocks, however large a
-    neighbourhood is. Blocks are dealt out on ids and sizes; sets join them once.
+    neighbourhood is. Blocks are dealt out on numbers and sizes; sets join them once.
     """
     # a little narrower than exact, so that rounding never parts a link by two bands
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) * F.lit(1 - 1e-6)).cast("int")
-    members = sets.select("id", "n").join(units.select(F.col("node").alias("id"), F.col("root").alias("unit")), "id")
-    members = members.select("id", "n", "unit", band.alias("band"))
+    members = sets.select("class", "n").join(units.select(F.col("node").alias("class"), F.col("root").alias("unit")), "class")
+    members = members.select("class", "n", "unit", band.alias("band"))
     size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CASES), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
-    blocks = settle(members.groupBy("unit", "band").agg(size.alias("own"), F.count_distinct("id").alias("cases")))
+    blocks = settle(members.groupBy("unit", "band").agg(size.alias("own"), F.count(F.lit(1)).alias("cases")))
     above = blocks.select("unit", (F.col("band") - 1).alias("band"), F.col("own").alias("above"))
     below = blocks.select("unit", (F.col("band") + 1).alias("band"), F.col("own").alias("below"))
     near = blocks.join(above, ["unit", "band"], "left").join(below, ["unit", "band"], "left")
-    dealt = members.select("id", "unit", "band").distinct().join(near, ["unit", "band"])
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("own")).cast("int"))
+    dealt = members.select("class", "unit", "band").join(near, ["unit", "band"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.col("own")).cast("int"))
 
     def cells(count: str, cell) -> Column:
         """A group for each block of a band: (lower band, its block, the other's block, whether bands differ, the side)."""
@@ -421,15 +433,15 @@ def verified_links(sets: DataFrame, units: DataFrame, percent: int) -> DataFrame
         cells("above", lambda x: cell(here, me, x, True, F.lit(0))),
         cells("below", lambda x: cell(here - 1, x, me, True, F.lit(2))),
     )
-    placed = dealt.select("id", "unit", F.inline(groups))
-    return sets.select("id", "grams").join(placed, "id").groupBy("unit", "low", "i", "j", "next").applyInArrow(_join_cell(percent), "a long, b long")
+    placed = dealt.select("class", "unit", F.inline(groups))
+    return sets.select("class", "grams").join(placed, "class").groupBy("unit", "low", "i", "j", "next").applyInArrow(_join_cell(percent), "a long, b long")
 
 
 def link_cases(cases: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Near-duplicate components: id, n_shingles (set size), component_id (the least id reachable by links, its own included).
 
     cases: id (long), rationale. Two cases link when 100 * |A and B| >= percent * |A or B| of
-    their sets of word n-grams. Cases with equal sets form a class, of which the least id is searched. Classes
+    their sets of word n-grams. Cases with equal sets form a class, which is searched once, whatever ids its rows have. Classes
     that share too few n-grams with any other are set aside; those left whose rarest n-grams meet form
     neighbourhoods, and inside these DivideSkip finds the links. All of it is exact.
 
@@ -444,12 +456,17 @@ def link_cases(cases: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     full = measured.filter("n > 0")
     classes = full.groupBy("key").agg(F.min("id").alias("rep"), F.first("class").alias("class"))
     found = classes.join(linkable(cases, frequent, size, percent), "class").filter("rep is not null")
-    found = settle(found.select(F.col("rep").alias("id")).distinct())
-    sets = cases.mapInArrow(_whole_sets(size, id_filter(found)), "id long, n long, grams binary")
+    found = settle(found.select("class", F.col("rep").alias("id")).distinct())
+    kinds = "class long, n long, grams binary"
+    sets = cases.mapInArrow(_whole_sets(size, id_filter(found)), kinds)
     if found.count() > FILTER_BITS // 64:  # then a filter lets many others through; as such they do no harm
-        sets = sets.join(found, "id", "left_semi")
-    sets = settle(sets)
+        sets = sets.join(found, "class", "left_semi")
+    # rows with one id can hold one set several times, and several sets
+    sets = settle(sets.repartition("class").mapInArrow(_each_class_once, kinds))
     links = verified_links(sets, neighbourhoods(sets, percent), percent)
+    node = classes.filter("rep is not null").select("class", "rep")
+    links = links.join(node.select(F.col("class").alias("a"), F.col("rep").alias("__a")), "a").join(node.select(F.col("class").alias("b"), F.col("rep").alias("__b")), "b")
+    links = links.select(F.col("__a").alias("a"), F.col("__b").alias("b"))
     # an id with several rows ties their classes together
     copies = classes.select("key", "rep")
     several = full.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 and id is not null").select("id")

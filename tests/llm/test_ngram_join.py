@@ -70,6 +70,20 @@ def test_null_and_repeated_ids(spark):
     assert nj.link_cases(spark.createDataFrame([], "id long, rationale string")).count() == 0
 
 
+def test_repeated_rows_and_ids_keep_their_near_copies(spark):
+    draw, rows = random.Random(21), []
+    for i in range(40):
+        words = [f"p{i}w{j}" for j in range(100)]
+        near = words[:90] + [f"p{i}x{j}" for j in range(10)]  # 88 of 98 and 98 n-grams are shared: 81 of 100
+        a, b = " ".join(words), " ".join(near)
+        other = " ".join(f"p{i}o{j}" for j in range(100))
+        rows += [(2 * i, a), (2 * i + 1, b)] + [[], [(2 * i, a)], [(2 * i + 1, b)] * 2, [(2 * i, other)], [(2 * i, other), (500 + i, other + " more")], [(None, a)]][i % 6]
+    draw.shuffle(rows)
+    cases = spark.createDataFrame(rows, "id long, rationale string").repartition(5)
+    got = {r["id"]: r["component_id"] for r in nj.link_cases(cases, 3, 80).collect() if r["id"] is not None}
+    assert got == {i: i - i % 2 if i < 500 else 2 * (i - 500) for i in got} and len(got) > 80
+
+
 def test_merge_skip_counts():
     draw = np.random.default_rng(1)
     for _ in range(100):
