@@ -93,7 +93,6 @@ def certified_cutoffs(
     stratum: str = "source",
     max_false_rejection: float = 0.02,
     confidence: float = 0.95,
-    max_holdout: int = 200_000,
 ) -> DataFrame:
     """Per stratum and rule the strictest cut-off that is certified: rows (stratum, rule, cutoff, n_good, rejected).
 
@@ -107,15 +106,11 @@ def certified_cutoffs(
     which needs no further correction (fixed-sequence testing). A stratum without a
     certified cut-off gets none: nothing of it is rejected.
 
-    `max_holdout` bounds the good cases used per stratum (about; drawn by hash of id) since the
-    test's cost is linear in the count; the bound only costs power, not the guarantee.
+    All good cases count. A cut-off that rejects its share or more cannot pass, as half of the distribution
+    lies at or below its mean, so the sum has fewer terms than the share of the good cases.
     """
     rates = _rates()
     good = labelled.filter((F.col("label") == 1) & ~base_failed())
-    total = good.groupBy(F.col(stratum).alias("__stratum")).agg(F.count(F.lit(1)).alias("__all"))
-    good = good.join(total, good[stratum].eqNullSafe(total["__stratum"])).drop("__stratum")
-    drawn = F.pmod(F.xxhash64(F.lit("holdout"), "id"), F.lit(1 << 30)) * F.col("__all") < F.lit(max_holdout << 30)
-    good = good.filter((F.col("__all") <= max_holdout) | F.coalesce(drawn, F.lit(False)))
     over = [
         F.count_if(rate > F.lit(cut)).alias(f"{rule}_{i}") for rule, rate in rates.items() for i, cut in enumerate(LADDERS[rule])
     ]
@@ -131,7 +126,9 @@ def certified_cutoffs(
     ladder = strata.select(stratum, "n_good", "strata", F.inline(rungs))
     share = max_false_rejection / len(rates)
     error = F.log(F.lit(1.0 - confidence) / (F.col("strata") * F.lit(len(rates))))
-    tested = ladder.withColumn("passed", log_binomial_cdf(F.col("rejected"), F.col("n_good"), share) <= error)
+    under = F.col("rejected") < F.lit(share) * F.col("n_good")
+    passed = F.when(under, log_binomial_cdf(F.col("rejected"), F.col("n_good"), share) <= error).otherwise(F.lit(False))
+    tested = ladder.withColumn("passed", passed)
     down = Window.partitionBy(stratum, "rule").orderBy("rung").rowsBetween(Window.unboundedPreceding, 0)
     reached = tested.withColumn("open", F.min(F.col("passed").cast("int")).over(down) == 1).filter("open")
     last = reached.groupBy(stratum, "rule").agg(

@@ -80,6 +80,15 @@ def test_cutoffs_are_the_strictest_that_pass(spark):
     assert ("few", "symbol_rate") not in got and len(got) >= 9
 
 
+def test_large_strata_are_counted_whole(spark):
+    rows = spark.range(250_000).selectExpr(
+        "if(id % 1000 = 0, null, id) id", "'a' source", "1 label", "50L n_words", "200L word_chars",
+        "if(id % 500 = 0, 40L, 0L) n_symbols", "10L n_lines", "0L n_dup_lines", "0L n_repeat_words",
+    )
+    got = {r["rule"]: (r["cutoff"], r["n_good"], r["rejected"]) for r in qr.certified_cutoffs(rows).collect()}
+    assert got["symbol_rate"] == (0.02, 250_000, 500) and got["dup_line_rate"] == (0.10, 250_000, 0)
+
+
 def test_verdicts_nulls_and_no_labels(spark):
     good = "the lung fields are clear and the heart size is normal on this film today"
     rows = [(i, good if i % 4 else " ".join(w + "$$$$" for w in good.split()), "a") for i in range(1200)] + [(None, None, None), (2000, "", None), (2000, "", None)]
