@@ -80,6 +80,12 @@ def test_cutoffs_are_the_strictest_that_pass(spark):
     assert ("few", "symbol_rate") not in got and len(got) >= 9
 
 
+def test_four_strata_of_500_good_cases_are_certified(spark):
+    rows = [(i, "abcd"[i % 4], 1, 50, 200, 0, 10, 0, 0) for i in range(2000)]
+    got = {(r["source"], r["rule"]): r["cutoff"] for r in qr.certified_cutoffs(statistics(spark, rows)).collect()}
+    assert got == {(source, rule): ladder[-1] for source in "abcd" for rule, ladder in qr.LADDERS.items()}
+
+
 def test_large_strata_are_counted_whole(spark):
     rows = spark.range(250_000).selectExpr(
         "if(id % 1000 = 0, null, id) id", "'a' source", "1 label", "50L n_words", "200L word_chars",
