@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.llm import byte_bpe, language_id, ngram_join, packing, quality_classifier, quality_rules, sharding, topk, unit_dedup, url_filter
+from plumbline.llm.common import gapless_rank, shared_folder, spread_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,15 +105,28 @@ OLD_SHARDS, NEW_SHARDS = 6, 8
 
 @register("op1_reshard")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The old layout kept every source in one of six shards, so its sizes are uneven."""
-    docs = table(spark, sf_dir, "documents")
-    text = F.coalesce("text", F.lit(""))
+    """The old layout, written here, kept every source in one of six shards; sizes, digests and slots are read from the new one's files."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
     old = F.pmod(F.crc32(F.encode(F.coalesce("source", F.lit("")), "UTF-8")), F.lit(OLD_SHARDS)).cast("int")
+    size = (F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1)).cast("long")
+    folder = shared_folder(spark)
+    root, target = f"{folder}/old", f"{folder}/new"
+    stored = docs.select("id", "text", size.alias("size"), old.alias("old_shard"), old.alias("shard"))
+    stored.write.partitionBy("shard").parquet(root)
+    before = spark.read.schema(stored.schema).parquet(root)
+    rows = before.count()
+    kept = sharding.rewrite_shards(spark, root, target, NEW_SHARDS) if rows else [*range(NEW_SHARDS)]
+    names = ("id", "text", "old_shard", F.col("shard").cast("int").alias("shard"))
+    now = before.filter(F.col("shard").isin(kept)).select(*names)
+    if len(kept) < NEW_SHARDS:  # else nothing was written
+        now = now.unionByName(spark.read.schema(stored.schema).parquet(target).select(*names))
+    text = F.coalesce("text", F.lit(""))
     size, crc = (F.octet_length(text) + F.lit(1)).cast("long"), F.crc32(F.encode(text, "UTF-8"))
-    cases = docs.select(F.col("doc_id").alias("id"), old.alias("shard"), size.alias("size"), crc.alias("text_crc32"))
-    placed = sharding.reshard_cases(cases, NEW_SHARDS, carry=("text_crc32",))
+    now = now.select("id", size.alias("size"), crc.alias("text_crc32"), "old_shard", "shard")
+    now = gapless_rank(now, ["shard"], ["id", "size", "old_shard"], "slot", spread_count(rows // NEW_SHARDS + 1))
+    moved = (F.col("shard") != F.col("old_shard")).alias("moved")
     fixed = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
-    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", "shard", "slot", *fixed, "old_shard", "moved")
+    return now.select(F.col("id").alias("doc_id"), "size", "text_crc32", "shard", "slot", *fixed, "old_shard", moved)
 
 
 @register("op9_packing")

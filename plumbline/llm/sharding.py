@@ -175,15 +175,18 @@ def rewrite_shards(spark: SparkSession, root: str, target: str, n_shards: int, i
 
     Only shards that lose or gain a row are written; the numbers returned are those that
     were kept, whose files under `root` stay valid as they are. A rerun writes the same rows.
+    A row is known by its file and its place in it, so repeated rows and rows without an id move one by one.
     """
+    row = {"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")}
     stored = spark.read.parquet(root)
-    place = settle(reshard_cases(stored.select(F.col(id_col).alias("id"), "shard", F.col(size_col).alias("size")), n_shards))
+    stored = stored.select("*", *[c.alias(name) for name, c in row.items()])
+    sizes = stored.select(F.col(id_col).alias("id"), "shard", F.col(size_col).alias("size"), *row)
+    place = settle(reshard_cases(sizes, n_shards, carry=tuple(row)))
     touched = place.filter("moved").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
     changed = sorted(r["s"] for r in touched.collect())  # at most as many as shards
-    to = place.select(F.col("id").alias("__id"), F.col("size").alias("__size"), F.col("old_shard").alias("__old"), F.col("shard").alias("__new")).distinct()
+    to = place.select(*row, F.col("shard").alias("__new"))
     old = F.coalesce(F.col("shard"), F.lit(0))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.coalesce(F.col(size_col), F.lit(0)) == F.col("__size")) & (old == F.col("__old"))
-    moved = stored.filter(old.isin(changed)).join(to, same)
-    rewritten = moved.withColumn("shard", F.col("__new")).drop("__id", "__size", "__old", "__new")
-    rewritten.filter(F.col("shard").isin(changed)).write.mode("overwrite").partitionBy("shard").parquet(target)
+    moved = stored.filter(old.isin(changed)).join(to, [*row])
+    rewritten = moved.withColumn("shard", F.col("__new")).drop("__new", *row)
+    rewritten.write.mode("overwrite").partitionBy("shard").parquet(target)
     return [s for s in range(n_shards) if s not in changed]

@@ -87,3 +87,36 @@ def test_rewrites_only_what_changes(spark, tmp_path):
     new = spark.read.parquet(str(tmp_path / "more"))
     assert new.select("id", "rationale").exceptAll(table.select("id", "rationale")).count() == 0
     assert new.count() == 120 and [r["n"] for r in new.groupBy("shard").agg(F.count("*").alias("n")).collect()] == [24] * 5
+
+
+def test_repeated_rows_stay_single_when_rewritten(spark, tmp_path):
+    rows = [(None if i % 2 else 7, i % 2 and 3, 10, f"case {i}") for i in range(600)]
+    table = spark.createDataFrame(rows, "id long, shard int, size long, rationale string")
+    table.write.partitionBy("shard").parquet(f"{tmp_path}/old")
+    kept = sharding.rewrite_shards(spark, f"{tmp_path}/old", f"{tmp_path}/new", 5)
+    new = spark.read.parquet(f"{tmp_path}/new").collect()
+    assert kept == [] and sorted(r["rationale"] for r in new) == sorted(r[3] for r in rows)
+    assert sorted({s: sum(r["shard"] == s for r in new) for s in range(5)}.values()) == [120] * 5
+
+
+def test_query_reads_its_rewritten_files(spark, tmp_path):
+    import zlib
+
+    from plumbline.llm.queries import QUERIES
+
+    rows = [(i if i % 9 else None, None if i % 50 == 0 else f"é text {i % 70}" * (1 + i % 5), "en", f"s{i % 4}", 1) for i in range(700)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op1_reshard"](spark, str(tmp_path)).collect()
+    plain = [((t or "").encode(), i) for i, t, *_ in rows]
+    assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in got) == sorted((i or -1, len(t) + 1, zlib.crc32(t)) for t, i in plain)
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    totals = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert max(totals) - min(totals) <= 3 * max(len(t) + 1 for t, _ in plain)
+
+
+def test_query_without_documents(spark, tmp_path):
+    from plumbline.llm.queries import QUERIES
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["op1_reshard"](spark, str(tmp_path)).count() == 0
