@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm import byte_bpe, language_id, ngram_join, packing, quality_classifier, quality_rules, sharding, topk, unit_dedup, url_filter
+from plumbline.llm import byte_bpe, fingerprints, language_id, ngram_join, packing, quality_classifier, quality_rules, sharding, spelling, token_alignment, topk
+from plumbline.llm import unit_dedup, url_filter
 from plumbline.llm.common import gapless_rank, shared_folder, spread_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +179,31 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = ngram_join.link_cases(narratives(spark, sf_dir), 3, 90)
     return linked.withColumnRenamed("id", "doc_id")
+
+
+@register("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align_tokenizers(narratives(spark, sf_dir), *paths).withColumnRenamed("id", "doc_id")
+
+
+@register("op12_fingerprints")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against itself with its last third taken from the next document's start, and against that document."""
+    docs = narratives(spark, sf_dir).withColumn("rationale", F.coalesce("rationale", F.lit("")))
+    pairs = fingerprints.with_next(docs).withColumn("n_chars", F.length("rationale").cast("long"))
+    gone = F.floor(F.col("n_chars") / 3).cast("int")
+    kept = F.substring("rationale", F.lit(1), F.col("n_chars").cast("int") - gone)
+    pairs = pairs.withColumn("edited", F.concat(kept, F.substring("next_rationale", F.lit(1), gone)))
+    pairs = pairs.withColumn("edited_sha256", F.sha2("edited", 256))
+    columns = {"rationale": "fingerprint", "edited": "edited_fingerprint", "next_rationale": "next_fingerprint"}
+    out = fingerprints.fingerprint_cases(pairs, columns)
+    near = (fingerprints.similarity(F.col("fingerprint"), F.col(c)) for c in ("edited_fingerprint", "next_fingerprint"))
+    near_edited, near_next = near
+    names = (F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")
+    return out.select(*names, near_edited.alias("near_edited"), near_next.alias("near_next"))
+
+
+@register("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(spelling.count_words(narratives(spark, sf_dir), typo_every=31))

@@ -16,4 +16,4 @@ def test_matches_sql(spark, name):
 
 def test_all_are_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11)) and {*QUERIES, "pipeline"} <= set(entry.queries())
+    assert numbers == list(range(1, 14)) and {*QUERIES, "pipeline"} <= set(entry.queries())
