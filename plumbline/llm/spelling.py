@@ -6,7 +6,8 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -19,6 +20,8 @@ LETTERS = "A-Za-zÀ-ÿ"
 MIN_LETTERS = 7
 WORDS_PER_FLUSH = 200_000
 GRAM = 2
+#: Positions that an edit is narrowed to.
+SPAN = 2
 
 
 def _count(min_letters: int, typo_every: int | None):
@@ -94,12 +97,25 @@ def pivots(prefix: list[tuple[int, str]], rank: dict[str, tuple[int, str]], coun
     return [grams[m] for m in best[count][-1][1]]
 
 
-def edit_keys(word: str, grams: list[tuple[int, str]]) -> list[str]:
-    """What another word shares if it keeps one of the grams and one edit lies behind it, or before it.
+def edit_keys(word: str, grams: list[tuple[int, str]], lengths: Iterable[int]) -> set[str]:
+    """What a word shares with a pivotal word of one of the lengths if it keeps one of the grams and one edit parts them.
 
-    Up to the gram both words are equal at equal positions, or from it on at positions one edit apart at most.
+    Up to the gram both are equal at equal positions and the edit lies behind it, or from it on they are equal and the edit
+    lies before. There the pivotal word's positions are cut into spans of SPAN points; all but the span of the edit is equal
+    at positions that follow from the length, and makes the key.
     """
-    return [key for at, _ in grams for key in ("<" + word[: at + GRAM], ">" + word[at:])]
+    keys = set()
+    for (at, _), whole in product(grams, lengths):
+        behind, before = whole - at - GRAM, at + whole - len(word)
+        for p in range(0, max(behind, 1), SPAN):
+            rest = max(behind - p - SPAN, 0)
+            if behind >= 0 and at + GRAM + p + rest <= len(word):
+                keys.add(f"{word[: at + GRAM + p]}|{word[len(word) - rest :]}")
+        for p in range(0, max(before, 1), SPAN):
+            rest = max(before - p - SPAN, 0)
+            if before >= 0 and p + rest <= at:
+                keys.add(f"{word[:p]}|{word[at - rest :]}")
+    return keys
 
 
 def _keyed(rank: dict[str, tuple[int, str]]):
@@ -108,9 +124,11 @@ def _keyed(rank: dict[str, tuple[int, str]]):
             row, key, pivotal = [], [], []
             for i, word in enumerate(batch.column("word").to_pylist()):
                 prefix = gram_prefix(word, rank, 1)
-                chosen = set(edit_keys(word, pivots(prefix, rank, 2)))
-                for k in set(edit_keys(word, prefix)):
-                    row.append(i), key.append(k), pivotal.append(k in chosen)
+                size = len(word)
+                for side, found in ((True, edit_keys(word, pivots(prefix, rank, 2), [size])), (False, edit_keys(word, prefix, range(size - 1, size + 2)))):
+                    row += [i] * len(found)
+                    key += found
+                    pivotal += [side] * len(found)
             at = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("word", "n")), pa.array(key, pa.string()), pa.array(pivotal, pa.bool_())], ["word", "n", "key", "pivotal"])
 
@@ -122,18 +140,22 @@ def near_words(words: DataFrame) -> DataFrame:
 
     words: word (distinct, four letters at least), n. Grams are ordered by how many places hold them, rare ones first. Of two near words the one
     whose prefix ends earlier in that order keeps one of its two disjoint pivots in the other's prefix, since one edit touches only one
-    of them. Pivots are joined to prefixes on the equal side of the pivot; what meets is verified. No other pair is formed.
+    of them. Pivots are joined to prefixes with the text that is then equal (`edit_keys`); what meets is verified. No other pair is formed.
     """
     grams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(GRAM)))).alias("gram"))
     # at most the square of the letters
     rank = {r["gram"]: (r["count"], r["gram"]) for r in grams.groupBy("gram").count().collect()}
-    keyed = settle(words.select("word", "n").mapInArrow(_keyed(rank), "word string, n long, key string, pivotal boolean"))
-    other = keyed.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
+    keyed = words.select("word", "n").mapInArrow(_keyed(rank), "word string, n long, key string, pivotal boolean")
+    keyed = settle(keyed.withColumn("key", F.xxhash64("key")))  # keys that collide are verified like all others
+    other = keyed.filter("NOT pivotal").select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
     met = keyed.filter("pivotal").drop("pivotal").join(other, "key")
     met = met.filter((F.abs(F.length("word") - F.length("other")) <= 1) & (F.col("word") != F.col("other")))
-    near = met.filter(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
-    back = near.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    return near.unionByName(back).distinct()
+    met = met.filter(F.levenshtein("word", "other", 1) == 1)
+    ends = F.array_sort(F.array(F.struct("word", "n"), F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"))))
+    pairs = met.select(ends.alias("ends")).select(F.col("ends")[0].alias("a"), F.col("ends")[1].alias("b")).distinct()
+    sides = F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("two")), F.struct(F.col("b").alias("one"), F.col("a").alias("two")))
+    both = pairs.select(F.explode(sides).alias("x"))
+    return both.select("x.one.word", "x.one.n", F.col("x.two.word").alias("other"), F.col("x.two.n").alias("other_n"))
 
 
 def group_spellings(words: DataFrame, min_letters: int = MIN_LETTERS, min_count: int = 2, ratio: int = 10) -> DataFrame:
