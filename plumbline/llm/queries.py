@@ -114,17 +114,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, target = f"{folder}/old", f"{folder}/new"
     stored = docs.select("id", "text", size.alias("size"), old.alias("old_shard"), old.alias("shard"))
     stored.write.partitionBy("shard").parquet(root)
-    before = spark.read.schema(stored.schema).parquet(root)
-    rows = before.count()
-    kept = sharding.rewrite_shards(spark, root, target, NEW_SHARDS) if rows else [*range(NEW_SHARDS)]
+    kept = sharding.rewrite_shards(spark, root, target, NEW_SHARDS, stored.schema)
     names = ("id", "text", "old_shard", F.col("shard").cast("int").alias("shard"))
-    now = before.filter(F.col("shard").isin(kept)).select(*names)
-    if len(kept) < NEW_SHARDS:  # else nothing was written
-        now = now.unionByName(spark.read.schema(stored.schema).parquet(target).select(*names))
+    before = spark.read.schema(stored.schema).parquet(root).filter(F.col("shard").isin(kept))
+    now = before.select(*names).unionByName(spark.read.schema(stored.schema).parquet(target).select(*names))
     text = F.coalesce("text", F.lit(""))
     size, crc = (F.octet_length(text) + F.lit(1)).cast("long"), F.crc32(F.encode(text, "UTF-8"))
     now = now.select("id", size.alias("size"), crc.alias("text_crc32"), "old_shard", "shard")
-    now = gapless_rank(now, ["shard"], ["id", "size", "old_shard"], "slot", spread_count(rows // NEW_SHARDS + 1))
+    now = gapless_rank(now, ["shard"], ["id", "size", "old_shard"], "slot", spread_count(docs.count() // NEW_SHARDS + 1))
     moved = (F.col("shard") != F.col("old_shard")).alias("moved")
     fixed = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
     return now.select(F.col("id").alias("doc_id"), "size", "text_crc32", "shard", "slot", *fixed, "old_shard", moved)

@@ -7,7 +7,8 @@ import json
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.llm.common import gapless_rank, settle, spread_count
 
@@ -117,26 +118,9 @@ def _deal_block(rows: pa.Table) -> pa.Table:
     return rows.drop_columns("parts").append_column("new_shard", pa.array(shards, pa.int32()))
 
 
-def reshard_cases(cases: DataFrame, n_shards: int, capacities: Sequence[int] | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """Give every case a new shard so that the fewest bytes move and every shard gets its capacity.
-
-    cases: id, shard (old number, int), size (bytes, long). capacities: bytes of the
-    n_shards new shards; equal parts of the total by default. carry: further columns to keep. A new shard takes over the
-    files of the old shard of its number; rows that stay there are not moved.
-
-    Sizes are added up per block (old shard and hash of id), the flow is solved over
-    shards, whole blocks are given out along it, and only blocks at a cut are dealt
-    row by row, so shards meet their capacities to within a few small rows. Returns id,
-    size, old_shard, shard (int), slot (long, gapless from 0 in its shard), moved.
-
-    The driver sees at most MAX_BLOCKS block sizes. Nulls: a null shard counts as 0, a null size as 0 bytes, a null id is
-    an id of its own. Repeated rows are placed one by one. Other columns are not
-    carried. No cases: no rows. More than MAX_SHARDS old shards are refused.
-    """
-    spark = cases.sparkSession
-    base = cases.select(
-        "id", F.coalesce(F.col("shard").cast("int"), F.lit(0)).alias("old_shard"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"), *carry
-    )
+def _planned(base: DataFrame, n_shards: int, capacities: Sequence[int] | None) -> tuple[Column, DataFrame, int]:
+    """The block of a row (id, old_shard, size); a row per block with its new shard or, where it is cut, the parts; the number of rows."""
+    spark = base.sparkSession
     totals = {r["old_shard"]: r for r in base.groupBy("old_shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).limit(MAX_SHARDS + 1).collect()}
     if len(totals) > MAX_SHARDS:
         raise ValueError(f"more than {MAX_SHARDS} old shards")
@@ -148,9 +132,9 @@ def reshard_cases(cases: DataFrame, n_shards: int, capacities: Sequence[int] | N
     flow = transfer_plan(old, capacities)
     most = max([r["n"] for r in totals.values()], default=0)
     n_blocks = max(1, min(MAX_BLOCKS // max(1, len(totals)), most // ROWS_PER_BLOCK))
-    base = base.withColumn("block", F.pmod(F.xxhash64("id", "size"), F.lit(n_blocks)).cast("int"))
+    of_row = F.pmod(F.xxhash64("id", "size"), F.lit(n_blocks)).cast("int")
     sizes: dict[int, list[tuple[int, int]]] = {}
-    for r in base.groupBy("old_shard", "block").agg(F.sum("size").alias("b")).collect():
+    for r in base.groupBy("old_shard", of_row.alias("block")).agg(F.sum("size").alias("b")).collect():
         sizes.setdefault(r["old_shard"], []).append((r["block"], r["b"]))
     plan = []
     for i, blocks in sizes.items():
@@ -158,11 +142,38 @@ def reshard_cases(cases: DataFrame, n_shards: int, capacities: Sequence[int] | N
         for block, parts in place_blocks(blocks, quotas).items():
             single = next(iter(parts)) if len(parts) == 1 else None
             plan.append((i, block, single, None if single is not None else json.dumps(parts)))
-    planned = spark.createDataFrame(plan, "old_shard int, block int, new_shard int, parts string")
+    return of_row, spark.createDataFrame(plan, "old_shard int, block int, new_shard int, parts string"), rows
+
+
+def _dealt(cut: DataFrame) -> DataFrame:
+    """Rows of the cut blocks (old_shard, block, parts, ...), each with its new shard in place of the parts."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "parts")
+    return cut.groupBy("old_shard", "block").applyInArrow(_deal_block, f"{kinds}, new_shard int")
+
+
+def reshard_cases(cases: DataFrame, n_shards: int, capacities: Sequence[int] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Give every case a new shard so that the fewest bytes move and every shard gets its capacity.
+
+    cases: id, shard (old number, int), size (bytes, long). capacities: bytes of the
+    n_shards new shards; equal parts of the total by default. carry: further columns to keep. A new shard takes over the
+    files of the old shard of its number; rows that stay there are not moved.
+
+    Sizes are added up per block (old shard and hash of id), the flow is solved over
+    shards, whole blocks are given out along it, and only blocks at a cut are dealt
+    row by row, so shards meet their capacities to within a few small rows. Returns id,
+    size, old_shard, shard (int), slot (long, gapless from 0 in its shard), moved.
+
+    The driver sees at most MAX_BLOCKS block sizes. Nulls: a null shard counts as 0, a null size as 0 bytes, a null id is
+    an id of its own. Repeated rows are placed one by one. Columns other than those of `carry` are not
+    kept. No cases: no rows. More than MAX_SHARDS old shards are refused.
+    """
+    base = cases.select(
+        "id", F.coalesce(F.col("shard").cast("int"), F.lit(0)).alias("old_shard"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"), *carry
+    )
+    block, planned, rows = _planned(base, n_shards, capacities)
+    base = base.withColumn("block", block)
     placed = base.join(F.broadcast(planned), ["old_shard", "block"])  # at most MAX_BLOCKS rows
-    cut = placed.filter(F.col("parts").isNotNull()).select(*base.columns, "parts")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    dealt = cut.groupBy("old_shard", "block").applyInArrow(_deal_block, f"{kinds}, new_shard int")
+    dealt = _dealt(placed.filter(F.col("parts").isNotNull()).select(*base.columns, "parts"))
     straight = placed.filter(F.col("parts").isNull())
     names = ("id", "size", "old_shard", *carry, F.col("new_shard").alias("shard"))
     done = settle(straight.select(*names).unionByName(dealt.select(*names)))
@@ -170,23 +181,36 @@ def reshard_cases(cases: DataFrame, n_shards: int, capacities: Sequence[int] | N
     return ranked.select("id", "size", "old_shard", *carry, "shard", "slot", (F.col("shard") != F.col("old_shard")).alias("moved"))
 
 
-def rewrite_shards(spark: SparkSession, root: str, target: str, n_shards: int, id_col: str = "id", size_col: str = "size") -> list[int]:
+def rewrite_shards(spark: SparkSession, root: str, target: str, n_shards: int, schema: StructType | None = None, id_col: str = "id", size_col: str = "size") -> list[int]:
     """Reshard a table stored as root/shard=0, shard=1, ... and write the files that change to `target`.
 
-    Only shards that lose or gain a row are written; the numbers returned are those that
-    were kept, whose files under `root` stay valid as they are. A rerun writes the same rows.
-    A row is known by its file and its place in it, so repeated rows and rows without an id move one by one.
+    Only shards that lose or gain a row are written; the numbers returned are those that were kept, whose files under `root` stay
+    valid as they are. A rerun writes the same rows. A block that goes to one shard is written straight from the scan; only rows of cut
+    blocks are dealt, known by their file and place in it, and joined back. So most texts are never shuffled.
+
+    schema: of the stored table, needed where it may hold no row. Nulls, repeated rows and rows without an id as in `reshard_cases`: they move one
+    by one. Very long texts are copied whole. All columns are kept, whatever their names, but for a struct `_metadata`. No rows: `target` is
+    an empty table and all shards were kept.
     """
-    row = {"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")}
-    stored = spark.read.parquet(root)
-    stored = stored.select("*", *[c.alias(name) for name, c in row.items()])
-    sizes = stored.select(F.col(id_col).alias("id"), "shard", F.col(size_col).alias("size"), *row)
-    place = settle(reshard_cases(sizes, n_shards, carry=tuple(row)))
-    touched = place.filter("moved").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
-    changed = sorted(r["s"] for r in touched.collect())  # at most as many as shards
-    to = place.select(*row, F.col("shard").alias("__new"))
-    old = F.coalesce(F.col("shard"), F.lit(0))
-    moved = stored.filter(old.isin(changed)).join(to, [*row])
-    rewritten = moved.withColumn("shard", F.col("__new")).drop("__new", *row)
-    rewritten.write.mode("overwrite").partitionBy("shard").parquet(target)
+    stored = (spark.read if schema is None else spark.read.schema(schema)).parquet(root)
+    # the stored columns travel as one struct, so that none of their names can clash
+    row = {"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")}
+    shard, size = F.coalesce(F.col("shard").cast("int"), F.lit(0)).alias("old_shard"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("size")
+    known = stored.select(F.col(id_col).alias("id"), shard, size, *(c.alias(name) for name, c in row.items()), F.struct(*stored.columns).alias("stored"))
+    block, planned, rows = _planned(known.drop("stored"), n_shards, None)
+    known = known.withColumn("block", block)
+    narrow = known.drop("stored")
+    if not rows:
+        stored.write.mode("overwrite").parquet(target)
+        return [*range(n_shards)]
+    planned = settle(planned)
+    cut = narrow.join(F.broadcast(planned.filter("parts IS NOT NULL")), ["old_shard", "block"])  # at most MAX_BLOCKS rows
+    dealt = settle(_dealt(cut.select(*narrow.columns, "parts")).select("file", "row", "old_shard", "new_shard"))
+    moves = planned.filter("parts IS NULL").select("old_shard", "new_shard").unionByName(dealt.select("old_shard", "new_shard")).filter("old_shard <> new_shard")
+    changed = sorted(r["s"] for r in moves.select(F.explode(F.array("old_shard", "new_shard")).alias("s")).distinct().collect())  # at most as many as shards
+    placed = known.filter(F.col("old_shard").isin(changed)).join(F.broadcast(planned), ["old_shard", "block"])
+    straight = placed.filter("parts IS NULL").select("stored", "new_shard")
+    joined = placed.filter("parts IS NOT NULL").select("stored", "file", "row").join(dealt.select("file", "row", "new_shard"), ["file", "row"]).select("stored", "new_shard")
+    others = [F.col(f"stored.`{c}`") for c in stored.columns if c != "shard"]
+    straight.unionByName(joined).select(*others, F.col("new_shard").alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(target)
     return [s for s in range(n_shards) if s not in changed]

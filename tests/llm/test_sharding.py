@@ -120,3 +120,24 @@ def test_query_without_documents(spark, tmp_path):
 
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert QUERIES["op1_reshard"](spark, str(tmp_path)).count() == 0
+
+
+def test_rewrite_of_an_empty_table(spark, tmp_path):
+    rows = spark.createDataFrame([], "id long, size long, text string, shard int")
+    rows.write.partitionBy("shard").parquet(f"{tmp_path}/old")
+    assert sharding.rewrite_shards(spark, f"{tmp_path}/old", f"{tmp_path}/new", 3, rows.schema) == [0, 1, 2]
+    assert spark.read.schema(rows.schema).parquet(f"{tmp_path}/new").count() == 0
+
+
+def test_rewrite_keeps_columns_of_any_name(spark, tmp_path):
+    names = ("file", "row", "block", "stored", "parts", "old_shard", "new_shard", "__row")
+    made = spark.range(700).selectExpr("id", "10 + id % 7 AS size", *(f"id + {n} AS `{c}`" for n, c in enumerate(names)), "int(id % 2) AS shard")
+    made = made.unionByName(made.filter("id < 5"))  # repeated rows
+    made.write.partitionBy("shard").parquet(f"{tmp_path}/old")
+    kept = sharding.rewrite_shards(spark, f"{tmp_path}/old", f"{tmp_path}/new", 3)
+    assert kept == []
+    got = spark.read.parquet(f"{tmp_path}/new")
+    columns = ["id", "size", *names]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, made.select(*columns).collect()))
+    sizes = [r["b"] for r in got.groupBy("shard").sum("size").withColumnRenamed("sum(size)", "b").collect()]
+    assert len(sizes) == 3 and max(sizes) - min(sizes) <= 32
