@@ -122,10 +122,10 @@ def _measure(size: int):
         def often() -> pa.RecordBatch:
             grams, counts = np.unique(np.concatenate(kept), return_counts=True)
             grams, counts = grams[counts > 2], counts[counts > 2]
-            none = [pa.nulls(len(grams), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64())]
+            none = [pa.nulls(len(grams), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())]
             return pa.RecordBatch.from_arrays([*none, pa.array(grams.view(np.int64)), pa.array(counts)], names)
 
-        names = ["id", "n", "key", "class", "gram", "often"]
+        names = ["id", "text", "n", "key", "class", "gram", "often"]
         for batch in batches:
             n, keys, numbers = [], [], []
             for grams in ngram_sets(batch.column("rationale"), size):
@@ -137,7 +137,7 @@ def _measure(size: int):
                     kept, held = [], 0
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(numbers, pa.int64()), none, none], names
+                [batch.column("id"), batch.column("text"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(numbers, pa.int64()), none, none], names
             )
         if kept:
             yield often()
@@ -437,6 +437,27 @@ def verified_links(sets: DataFrame, units: DataFrame, percent: int) -> DataFrame
     return sets.select("class", "grams").join(placed, "class").groupBy("unit", "low", "i", "j", "next").applyInArrow(_join_cell(percent), "a long, b long")
 
 
+def _linked_classes(cases: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, text, n, key, class); classes (key, rep, class) of equal sets, rep the least id; links (a, b) between class numbers.
+
+    text: a digest of the rationale. Classes without any id are not searched.
+    """
+    told = cases.withColumn("text", F.xxhash64("rationale"))
+    both = settle(told.mapInArrow(_measure(size), "id long, text long, n long, key binary, class long, gram long, often long"))
+    measured = both.filter("key is not null").drop("gram", "often")
+    frequent = frequent_ngrams(both.filter("key is null").select("gram", "often"))
+    classes = measured.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("class").alias("class"))
+    found = classes.join(linkable(cases, frequent, size, percent), "class").filter("rep is not null")
+    found = settle(found.select("class", F.col("rep").alias("id")).distinct())
+    kinds = "class long, n long, grams binary"
+    sets = cases.mapInArrow(_whole_sets(size, id_filter(found)), kinds)
+    if found.count() > FILTER_BITS // 64:  # then a filter lets many others through; as such they do no harm
+        sets = sets.join(found, "class", "left_semi")
+    # rows with one id can hold one set several times, and several sets
+    sets = settle(sets.repartition("class").mapInArrow(_each_class_once, kinds))
+    return measured, classes, verified_links(sets, neighbourhoods(sets, percent), percent)
+
+
 def link_cases(cases: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Near-duplicate components: id, n_shingles (set size), component_id (the least id reachable by links, its own included).
 
@@ -447,23 +468,11 @@ def link_cases(cases: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
     Nulls: a null, empty or blank rationale has an empty set, links with nothing and is its own component;
     a case without an id takes its class's component, or null alone. An id that occurs in several
-    rows is one node that has the links of each. No cases: no rows. Other columns are not carried.
+    rows is one node that has the links of each. Very long texts are read whole. No cases: no rows. Other columns are not carried.
     """
     cases = cases.select(F.col("id").cast("long").alias("id"), "rationale")
-    both = settle(cases.mapInArrow(_measure(size), "id long, n long, key binary, class long, gram long, often long"))
-    measured = both.filter("key is not null").drop("gram", "often")
-    frequent = frequent_ngrams(both.filter("key is null").select("gram", "often"))
+    measured, classes, links = _linked_classes(cases, size, percent)
     full = measured.filter("n > 0")
-    classes = full.groupBy("key").agg(F.min("id").alias("rep"), F.first("class").alias("class"))
-    found = classes.join(linkable(cases, frequent, size, percent), "class").filter("rep is not null")
-    found = settle(found.select("class", F.col("rep").alias("id")).distinct())
-    kinds = "class long, n long, grams binary"
-    sets = cases.mapInArrow(_whole_sets(size, id_filter(found)), kinds)
-    if found.count() > FILTER_BITS // 64:  # then a filter lets many others through; as such they do no harm
-        sets = sets.join(found, "class", "left_semi")
-    # rows with one id can hold one set several times, and several sets
-    sets = settle(sets.repartition("class").mapInArrow(_each_class_once, kinds))
-    links = verified_links(sets, neighbourhoods(sets, percent), percent)
     node = classes.filter("rep is not null").select("class", "rep")
     links = links.join(node.select(F.col("class").alias("a"), F.col("rep").alias("__a")), "a").join(node.select(F.col("class").alias("b"), F.col("rep").alias("__b")), "b")
     links = links.select(F.col("__a").alias("a"), F.col("__b").alias("b"))
@@ -478,13 +487,22 @@ def link_cases(cases: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
 
 def one_of_each(cases: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The case with the least id of every component, with all its columns; of rows that share that id one stays.
+    """One row of every group of near copies, with all its columns: the one with the least id, of equal ids the least digest of its text.
 
-    Cases without an id cannot be told apart afterwards: all of them stay.
+    Groups are of texts, not of ids: rows that share an id but not their text are judged each by its own links. Rows without an
+    id rank last; a text that only such rows have is compared with equal sets alone. Of rows equal in id and text one
+    stays. Null, empty and blank rationales have no set and all stay; very long texts are read whole. `kept_id`, `kept_text` and `kept_row` are taken by
+    the operator, other columns may have any name. No cases: no rows.
     """
-    linked = link_cases(cases, size, percent)
-    first = linked.filter("id = component_id").select(F.col("id").alias("__id")).distinct()
-    by_id = Window.partitionBy("id").orderBy(F.xxhash64("rationale"))
-    chosen = cases.filter("id is not null").join(first, F.col("id") == F.col("__id"), "left_semi")
-    chosen = chosen.withColumn("__row", F.row_number().over(by_id)).filter("__row = 1").drop("__row")
-    return chosen.unionByName(cases.filter("id is null"))
+    named = cases.select(F.col("id").cast("long").alias("id"), "rationale")
+    measured, _, links = _linked_classes(named, size, percent)
+    roots = connected_components(links)
+    grouped = measured.filter("n > 0").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    rank = F.struct(F.col("id").isNull().alias("late"), "id", "text")
+    first = grouped.groupBy(F.coalesce("root", "class").alias("group")).agg(F.min(rank).alias("first"))
+    chosen = first.select(F.col("first.id").alias("kept_id"), F.col("first.text").alias("kept_text"))
+    same = F.col("id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("rationale") == F.col("kept_text"))
+    by_row = Window.partitionBy("kept_id", "kept_text").orderBy("kept_text")
+    kept = cases.join(chosen, same).withColumn("kept_row", F.row_number().over(by_row)).filter("kept_row = 1").drop("kept_id", "kept_text", "kept_row")
+    blank = F.coalesce(F.rtrim(F.translate("rationale", "\t\n\v\f\r", "     ")), F.lit("")) == F.lit("")
+    return kept.unionByName(cases.filter(blank))
