@@ -133,20 +133,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
-UNIT_SQL = r"""WITH cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]) ', E'\\1\n', 'g'), E'\n') AS u FROM documents),
-units AS (SELECT doc_id, unnest(u) AS unit, generate_subscripts(u, 1) AS i FROM cut),
-placed AS (SELECT doc_id, unit, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY i
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM units),
-plain AS (SELECT doc_id, start, start + length(unit) AS "end", trim(regexp_replace(translate(unit,
-  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS n FROM placed),
-met AS (SELECT doc_id, start, "end", first_value(doc_id) OVER w AS first_doc_id, first_value(start) OVER w AS first_start
-  FROM plain WHERE len(string_split(n, ' ')) >= 8 WINDOW w AS (PARTITION BY n ORDER BY doc_id, start))
-SELECT * FROM met WHERE doc_id <> first_doc_id OR start <> first_start"""
+UNIT_SQL = r"""WITH cut AS (SELECT doc_id, string_split(text, E'\n') AS u FROM documents),
+lines AS (SELECT doc_id, unnest(u) AS line, generate_subscripts(u, 1) AS i FROM cut),
+placed AS (SELECT doc_id, i, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(line) AS size, trim(regexp_replace(translate(line,
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS n FROM lines),
+plain AS (SELECT doc_id, start, start + size AS "end", n, len(string_split(n, ' ')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k
+  FROM placed WHERE n <> ''),
+summed AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS upto FROM plain),
+runs AS (SELECT a.doc_id, a.k AS one, b.k AS two FROM (SELECT *, upto - w + 20 AS goal FROM summed) a ASOF JOIN summed b
+    ON a.doc_id = b.doc_id AND a.goal <= b.upto
+  UNION SELECT a.doc_id, b.k, a.k FROM (SELECT *, upto - 20 AS goal FROM summed) a ASOF JOIN (SELECT *, upto - w AS since FROM summed) b
+    ON a.doc_id = b.doc_id AND a.goal >= b.since),
+units AS (SELECT r.doc_id, min(s.start) AS start, max(s."end") AS "end", string_agg(s.n, ' ' ORDER BY s.k) AS n
+  FROM runs r JOIN summed s ON s.doc_id = r.doc_id AND s.k BETWEEN r.one AND r.two GROUP BY r.doc_id, r.one, r.two),
+met AS (SELECT doc_id, start, "end", first_value(doc_id) OVER w AS first_doc_id, first_value(start) OVER w AS first_start,
+  first_value("end") OVER w AS first_end FROM units WINDOW w AS (PARTITION BY n ORDER BY doc_id, start, "end"))
+SELECT doc_id, start, "end", first_doc_id, first_start FROM met WHERE doc_id <> first_doc_id OR start >= first_end"""
 
 
 @register("op5_unit_dedup", UNIT_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans that repeat an earlier document's (or the document's own earlier) line or sentence."""
+    """Spans that repeat an earlier document's (or the document's own earlier) line or run of lines."""
     spans = unit_dedup.repeated_units(narratives(spark, sf_dir))
     return spans.withColumnsRenamed({"id": "doc_id", "first_id": "first_doc_id"})
 

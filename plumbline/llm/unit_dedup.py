@@ -1,125 +1,104 @@
-"""Removal of lines, sentences and passages that other case narratives already have."""
+"""Removal of lines and passages that other case narratives already have."""
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate, chain
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Shorter units are never removed on their own: plain sentences of a few words meet by chance.
-MIN_WORDS = 8
-ROWS_PER_BATCH = 200_000
+from plumbline.llm.common import settle
+from plumbline.llm.word_ids import release_memory
 
-_SENTENCE_END = re.compile(r"(?<=[.!?]) ")
+#: Words of a unit: a line has them alone or together with the lines around it. Shorter lines meet by chance.
+MIN_WORDS = 20
+ROWS_PER_BATCH = 20_000
 
 
-def cut_units(text: str) -> list[str]:
-    """Lines of a text, cut further behind `. `, `! ` and `? `; one separating character lies between two units."""
-    return _SENTENCE_END.sub("\n", text).split("\n")
+def passage_units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, normalised text) of the units of a text: its lines of `min_words` words, and the shortest runs of lines that have
+    so many together, from every line on and up to every line.
 
-
-def normalised(unit: str) -> bytes:
-    """A-Z lower-cased, runs of ASCII white space as one space, none at the ends."""
-    return b" ".join(unit.encode().lower().split())
-
-
-def sentence_units(text: str, min_words: int) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(start, end, words) of the units of at least `min_words` words."""
-    at = 0
-    for unit in cut_units(text):
-        words = unit.encode().lower().split()
-        if len(words) >= min_words:
-            yield at, at + len(unit), words
-        at += len(unit) + 1
-
-
-def passage_units(text: str, min_words: int) -> Iterator[tuple[int, int, list[bytes]]]:
-    """The same of the shortest runs of units with `min_words` words: from every unit on, and up to every unit.
-
-    A long unit is a run of its own. A run depends on its own words alone, so two equal passages of `min_words` words
-    or more are covered by equal runs, wherever they stand and however short their sentences and lines are.
+    Normalised: A-Z lower-cased, runs of ASCII white space as one space, none at the ends. Blank lines are no part of a run. A
+    unit depends on its own words alone, so two equal passages of lines with `min_words` words or more are covered by
+    equal units, wherever they stand and however short their lines are.
     """
-    units, at = [], 0
-    for unit in cut_units(text):
-        if words := unit.encode().lower().split():
-            units.append((at, at + len(unit), words))
-        at += len(unit) + 1
-    before = [0, *accumulate(len(words) for _, _, words in units)]
+    lines, at = [], 0
+    for line in text.split("\n"):
+        if words := line.encode().lower().split():
+            lines.append((at, at + len(line), words))
+        at += len(line) + 1
+    before = [0, *accumulate(len(words) for _, _, words in lines)]
     ahead = {(i, bisect_left(before, n + min_words) - 1) for i, n in enumerate(before[:-1]) if n + min_words <= before[-1]}
     back = {(bisect_right(before, n - min_words) - 1, i) for i, n in enumerate(before[1:]) if n >= min_words}
     for first, last in sorted(ahead | back):
-        yield units[first][0], units[last][1], list(chain.from_iterable(words for _, _, words in units[first : last + 1]))
+        yield lines[first][0], lines[last][1], b" ".join(chain.from_iterable(words for _, _, words in lines[first : last + 1]))
 
 
-def _units(cut: Callable, min_words: int):
+def _units(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("rationale").to_pylist()
             row, start, end, digest = [], [], [], []
 
             def flush() -> pa.RecordBatch:
-                arrays = [batch.column("id").take(pa.array(row, pa.int32())), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(digest, pa.binary())]
-                return pa.RecordBatch.from_arrays(arrays, ["id", "start", "end", "digest"])
+                of_row = [batch.column(c).take(pa.array(row, pa.int32())) for c in ("id", "text")]
+                arrays = [*of_row, pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(digest, pa.binary())]
+                return pa.RecordBatch.from_arrays(arrays, ["id", "text", "start", "end", "digest"])
 
-            for i, text in enumerate(texts):
-                for at, to, words in cut(text or "", min_words):
-                    row.append(i), start.append(at), end.append(to)
-                    digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            for i, text in enumerate(batch.column("rationale")):
+                for at, to, unit in passage_units(text.as_py() or "", min_words):
+                    row.append(i), start.append(at), end.append(to), digest.append(xxhash.xxh3_128_digest(unit))
                 if len(row) >= ROWS_PER_BATCH:
                     yield flush()
                     row, start, end, digest = [], [], [], []
             yield flush()
+        release_memory()
 
     return run
 
 
-def case_units(cases: DataFrame, min_words: int = MIN_WORDS, cut: Callable = sentence_units) -> DataFrame:
-    """Units, or with `passage_units` runs of them, of at least `min_words` words: id, start, end (code points in the whole rationale), digest (128 bits)."""
+def case_units(cases: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Units of all cases: id, text (a digest of the rationale), start, end (code points in the whole rationale), digest (128 bits)."""
     kind = cases.schema["id"].dataType.simpleString()
-    return cases.select("id", "rationale").mapInArrow(_units(cut, min_words), f"id {kind}, start long, end long, digest binary")
+    told = cases.select("id", "rationale", F.xxhash64("rationale").alias("text"))
+    return told.mapInArrow(_units(min_words), f"id {kind}, text long, start long, end long, digest binary")
 
 
 def _place() -> Column:
-    """The rank of an occurrence: cases without an id come last, then by id and place."""
-    return F.struct(F.col("id").isNull().alias("late"), F.col("id"), F.col("start"), F.col("end"))
+    """The rank of an occurrence: cases without an id come last, then by id, text and place."""
+    return F.struct(F.col("id").isNull().alias("late"), "id", "text", "start", "end")
 
 
-def _repeated(units: DataFrame) -> DataFrame:
-    """The units behind the earliest ranked one of their digest, but for those that overlap it."""
-    first = units.groupBy("digest").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = units.join(first.select("digest", "first"), "digest")
-    later = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("start") < F.col("first.end")))
-    return met.filter(later).select("id", "start", "end", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
+def _repeated(cases: DataFrame, min_words: int) -> DataFrame:
+    """The units behind the earliest ranked one of their digest, but for those that overlap it, with the digest of their text."""
+    units = settle(case_units(cases, min_words))
+    often = units.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = settle(units.join(often.select("digest"), "digest", "left_semi"))
+    first = met.groupBy("digest").agg(F.min(_place()).alias("first"))
+    met = met.join(first, "digest")
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text") == F.col("first.text"))
+    later = met.filter(~(same & (F.col("start") < F.col("first.end"))))
+    return later.select("id", "text", "start", "end", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
 
 
 def repeated_units(cases: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every unit that is not the earliest ranked occurrence of its digest.
-
-    cases: id, rationale. Rank is id, then place in the text. Returns id, start, end
-    (offsets in the original rationale, end excluded), first_id, first_start: the occurrence that stays.
-
-    Digests are grouped with a combine on the map side; only digests met twice come
-    back to the units, by a join that Spark splits where a unit is very frequent.
-
-    Nulls: a null or empty rationale has no units; null ids rank last. Rows that share
-    id and text are one case: where it holds the first occurrence, all of them keep
-    it. Very long texts are cut whole. Other columns are not carried. No cases: no rows.
-    """
-    return _repeated(case_units(cases, min_words))
+    """Every unit (see `passage_units`) that is not the earliest ranked occurrence of its digest.
 
+    cases: id, rationale. Rank is id, then place in the text. Returns id, start, end (offsets in the original rationale, end
+    excluded), first_id, first_start: the occurrence that stays. Spans can overlap one another, but never
+    the occurrence that stays for them, so of each text that goes a copy is left.
 
-def repeated_passages(cases: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The same of the runs of `passage_units`, which also hold units of fewer words where their neighbours repeat too.
+    Texts are cut once; digests are counted with a combine on the map side, and only units whose digest is met twice are
+    looked at again, by a join that Spark splits where a unit is very frequent.
 
-    Spans can overlap one another, but never the occurrence that stays for them. Every unit in one has an earlier
-    copy in that occurrence, so of each text that goes a copy is left.
+    Nulls: a null or empty rationale has no units; null ids rank last. Rows that share id and text are one case: where it holds the
+    first occurrence, all of them keep it. Rows that share an id alone are cases of their own. Very long texts are cut
+    whole. Other columns are not carried. No cases: no rows.
     """
-    return _repeated(case_units(cases, min_words, passage_units))
+    return _repeated(cases, min_words).drop("text")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,22 +112,26 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     start = max(since, s["start"])  # what an earlier span has is gone
                     if start < s["end"]:
                         parts.append(text[since:start])
-                        since = s["end"] + 1  # with the character that parts it from the next unit
+                        since = s["end"] + 1  # with the line end
                         gone.append(s | {"start": start})
                 text, spans = "".join([*parts, text[since:]]), gone
             texts.append(text), removed.append(spans)
         batch = batch.set_column(at, "rationale", pa.array(texts, pa.string()))
         yield batch.set_column(on, "removed", pa.array(removed, batch.schema.field(on).type))
+    release_memory()
 
 
 def drop_repeated_units(cases: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of `cases`, with `rationale` freed of the union of `repeated_passages` and `removed`: the array
+    """All columns of `cases`, with `rationale` freed of the union of `repeated_units` and `removed`: the array
     of (start, end, first_id) of what went, disjoint, as offsets in the original rationale, in order.
 
-    A case that loses all its units stays, with what is left. A column `removed` of the input is replaced.
+    Spans belong to an id and its text: rows that share an id alone keep what is their own; null ids are freed too. A case that loses all its
+    units stays, with what is left. A null or empty rationale stays as it is, very long ones are cut whole, repeated rows are freed alike. A column
+    `removed` of the input is replaced; `span_id` and `span_text` are taken by the operator. No cases: no rows.
     """
-    spans = repeated_passages(cases, min_words).filter(F.col("id").isNotNull())
-    spans = spans.distinct().groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_id"))).alias("removed"))
-    out = cases.drop("removed").join(spans, F.col("id") == F.col("__id"), "left").drop("__id")
+    spans = _repeated(cases, min_words).select("id", "text", "start", "end", "first_id").distinct()
+    spans = spans.groupBy(F.col("id").alias("span_id"), F.col("text").alias("span_text")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_id"))).alias("removed"))
+    same = F.col("id").eqNullSafe(F.col("span_id")) & (F.xxhash64("rationale") == F.col("span_text"))
+    out = cases.drop("removed").join(spans, same, "left").drop("span_id", "span_text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     return out.mapInArrow(_without, kinds)

@@ -1,23 +1,33 @@
-"""Line and sentence dedup against a plain loop over whole texts."""
+"""Line and passage dedup against a plain loop over whole texts."""
 
 import random
 
 from plumbline.llm import unit_dedup
 
 
+def runs(text, min_words):
+    """Shortest runs of lines with `min_words` words, by trying all of them."""
+    lines, at = [], 0
+    for line in (text or "").split("\n"):
+        words = line.encode().lower().split()
+        if words:
+            lines.append((at, at + len(line), words))
+        at += len(line) + 1
+    for i in range(len(lines)):
+        for j in range(i, len(lines)):
+            words = [w for _, _, some in lines[i : j + 1] for w in some]
+            short_ahead = sum(len(x[2]) for x in lines[i:j]) < min_words
+            short_back = sum(len(x[2]) for x in lines[i + 1 : j + 1]) < min_words
+            if len(words) >= min_words and (short_ahead or short_back):
+                yield lines[i][0], lines[j][1], b" ".join(words)
+
+
 def brute(rows, min_words):
-    units = []
-    for i, text in rows:
-        at = 0
-        for u in unit_dedup.cut_units(text or ""):
-            n = unit_dedup.normalised(u)
-            if len(n.split()) >= min_words:
-                units.append(((i is None, i or 0, at), i, at, at + len(u), n))
-            at += len(u) + 1
+    units = [((i is None, i or 0, at, end), i, text, at, end, n) for i, text in rows for at, end, n in runs(text, min_words)]
     first = {}
-    for rank, i, at, _, n in sorted(units, key=lambda u: u[0]):
-        first.setdefault(n, (i, at))
-    return sorted((i, at, end, *first[n]) for _, i, at, end, n in units if (i, at) != first[n])
+    for _, i, text, at, end, n in sorted(units, key=lambda u: u[0]):
+        first.setdefault(n, (i, text, at, end))
+    return sorted((i, at, end, first[n][0], first[n][2]) for _, i, text, at, end, n in units if (i, text) != first[n][:2] or at >= first[n][3])
 
 
 def corpus():
@@ -27,8 +37,8 @@ def corpus():
     for i in range(40):
         parts = [" ".join(draw.choice("abcdefgh") * 3 for _ in range(draw.randint(1, 12))) + "." for _ in range(4)]
         parts.insert(draw.randint(0, 4), draw.choice(shared))
-        rows.append((i, draw.choice(["\n", " "]).join(parts)))
-    return [*rows, (50, shared[0].upper().replace(" ", "  ")), (51, ""), (52, None), (53, shared[1] + " " + shared[1]), (54, "é " * 9 + "\n" + "é " * 9)]
+        rows.append((i, draw.choice(["\n", " \n\n"]).join(parts)))
+    return [*rows, (50, shared[0].upper().replace(" ", "  ")), (51, ""), (52, None), (53, shared[1] + "\n" + shared[1]), (54, "é " * 9 + "\n" + "é " * 9)]
 
 
 def test_matches_brute_force(spark):
@@ -41,38 +51,48 @@ def test_matches_brute_force(spark):
 def test_offsets_and_texts(spark):
     rows = corpus()
     texts = dict(rows)
-    cases = spark.createDataFrame(rows, "id long, rationale string")
-    for r in unit_dedup.drop_repeated_units(cases, 6).collect():
-        gone = "".join(texts[r["id"]][s["start"] : s["end"]] for s in r["removed"] or [])
-        whole = texts[r["id"]]
+    cases = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "id long, rationale string, text int, removed string")
+    freed = unit_dedup.drop_repeated_units(cases, 6).collect()
+    for r in freed:
+        whole, spans = texts[r["id"]], r["removed"] or []
         if whole is None:
             assert r["rationale"] is None
         else:
-            assert len(whole) - len(gone) - len(r["removed"] or []) <= len(r["rationale"]) <= len(whole) - len(gone)
-    once = spark.createDataFrame([(r["id"], r["rationale"]) for r in unit_dedup.drop_repeated_units(cases, 6).collect()], "id long, rationale string")
-    assert unit_dedup.repeated_units(once, 6).count() == 0
+            gone = set().union(*(range(s["start"], s["end"] + 1) for s in spans))
+            assert r["rationale"] == "".join(c for i, c in enumerate(whole) if i not in gone)
+            assert all(a["end"] < b["start"] for a, b in zip(spans, spans[1:]))
+    once = spark.createDataFrame([(r["id"], r["rationale"]) for r in freed], "id long, rationale string")
+    assert {r["id"] for r in unit_dedup.repeated_units(once, 6).collect()} <= {r["id"] for r in freed if r["removed"]}  # new neighbours can meet
+    assert len(freed) == len(rows)
 
 
 def test_nulls_repeated_rows_and_no_rows(spark):
     line = "one two three four five six seven eight nine"
     rows = [(None, line), (3, line), (3, line), (4, line)]
-    got = unit_dedup.repeated_units(spark.createDataFrame(rows, "id long, rationale string")).collect()
+    got = unit_dedup.repeated_units(spark.createDataFrame(rows, "id long, rationale string"), 8).collect()
     assert sorted((r["id"] is None, r["id"] or 0, r["first_id"]) for r in got) == [(False, 4, 3), (True, 0, 3)]
-    assert unit_dedup.repeated_units(spark.createDataFrame([], "id long, rationale string")).count() == 0
+    freed = unit_dedup.drop_repeated_units(spark.createDataFrame(rows, "id long, rationale string"), 8).collect()
+    assert sorted((r["id"] or 0, r["rationale"]) for r in freed) == [(0, ""), (3, line), (3, line), (4, "")]
+    empty = spark.createDataFrame([], "id long, rationale string")
+    assert unit_dedup.repeated_units(empty).count() == unit_dedup.drop_repeated_units(empty).count() == 0
+
+
+def test_one_id_with_two_texts(spark):
+    line = "one two three four five six seven eight nine"
+    other = "another entirely different text that nobody else has at all here"
+    rows = [(1, line), (2, line + "\nown words"), (2, other), (2, line)]
+    freed = unit_dedup.drop_repeated_units(spark.createDataFrame(rows, "id long, rationale string"), 8).collect()
+    assert sorted((r["id"], r["rationale"]) for r in freed) == [(1, line), (2, ""), (2, other), (2, "own words")]
 
 
-def test_passages_of_short_sentences(spark):
+def test_passages_of_short_lines(spark):
     draw = random.Random(3)
     line = " ".join(f"w{draw.randrange(99)} v{draw.randrange(99)} u{i}!!" for i in range(20))  # 60 words, three a sentence
     block = "\n".join(f"a{i} b{draw.randrange(9)}" for i in range(30))  # 60 words, two a line
-    rows = [(1, f"Before one.\n{line}\nAfter."), (2, f"Other. {line}"), (3, f"Head.\n{block}\nTail."), (4, f"{block}\nEnd of four."), (5, "Ha. " * 40)]
+    rows = [(1, f"Before one.\n{line}\nAfter."), (2, f"Other.\n{line}"), (3, f"Head.\n{block}\nTail."), (4, f"{block}\nEnd of four."), (5, "Ha.\n" * 90)]
     got = {r["id"]: r for r in unit_dedup.drop_repeated_units(spark.createDataFrame(rows, "id long, rationale string").repartition(3)).collect()}
-    assert {i: got[i]["rationale"] for i in (1, 2, 3, 4)} == {1: rows[0][1], 2: "Other. ", 3: rows[2][1], 4: "End of four."}
-    assert got[5]["rationale"] == "Ha. " * 8  # the occurrence that stays is whole
-    for i, text in rows:
-        spans = got[i]["removed"] or []
-        assert all(a["end"] < b["start"] for a, b in zip(spans, spans[1:]))
-        assert len(got[i]["rationale"]) >= len(text) - sum(s["end"] + 1 - s["start"] for s in spans)
+    assert {i: got[i]["rationale"] for i in (1, 2, 3, 4)} == {1: rows[0][1], 2: "Other.\n", 3: rows[2][1], 4: "End of four."}
+    assert got[5]["rationale"] == "Ha.\n" * 20  # the occurrence that stays is whole
 
 
 def test_equal_passages_are_covered_whole():
@@ -83,11 +103,13 @@ def test_equal_passages_are_covered_whole():
         digests, texts = [], []
         for _ in range(2):
             head, tail = part(draw.randint(0, 4)), part(draw.randint(0, 4))
-            texts.append((draw.choice(["\n", " "]).join([*head, *passage, *tail]), sum(len(x) + 1 for x in head)))
-            digests.append({tuple(w) for _, _, w in unit_dedup.passage_units(texts[-1][0], 8)})
+            texts.append(("\n".join([*head, *passage, *tail]), sum(len(x) + 1 for x in head)))
+            units = list(unit_dedup.passage_units(texts[-1][0], 8))
+            assert sorted(units) == sorted(runs(texts[-1][0], 8))
+            digests.append({w for _, _, w in units})
         if len(" ".join(passage).split()) >= 8:
             text, at = texts[1]
             seen = set()
             for a, b, words in unit_dedup.passage_units(text, 8):
-                seen |= set(range(a, b + 1)) if tuple(words) in digests[0] else set()
-            assert set(range(at, at + len(" ".join(passage)))) <= seen
+                seen |= set(range(a, b + 1)) if words in digests[0] else set()
+            assert set(range(at, at + len("\n".join(passage)))) <= seen
