@@ -70,7 +70,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def inverse_document_frequency(cases: DataFrame) -> np.ndarray:
-    """Smoothed log inverse document frequency of each feature, over every case."""
+    """Smoothed log inverse document frequency of each feature, over all of `cases`."""
     parts = cases.select("rationale").mapInArrow(_document_counts, "at int, n long")
     out = np.zeros(FEATURES + 1)
     for r in parts.groupBy("at").agg(F.sum("n").alias("n")).collect():  # FEATURES + 1 rows
@@ -198,6 +198,12 @@ def fit_identifier(labelled: DataFrame, idf: np.ndarray) -> Identifier:
     return Identifier(languages, weights, temperature, idf)
 
 
+def learned_identifier(labelled: DataFrame) -> Identifier:
+    """Document frequencies and fit of the labelled rows alone; rows without a language teach nothing."""
+    known = labelled.select("id", "rationale", "lang").filter(F.col("lang").isNotNull())
+    return fit_identifier(known, inverse_document_frequency(known))
+
+
 def _predict(model: Identifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
@@ -212,14 +218,14 @@ def identify_language(cases: DataFrame, labelled: DataFrame) -> DataFrame:
     """id, lang_pred and score (0 to 1, calibrated) of every case.
 
     cases: id, rationale; labelled: id, rationale, lang, the rows to learn from. Only the whole
-    text enters a prediction; inverse document frequencies count every case. The reference project
+    text enters a prediction; inverse document frequencies count the labelled rows that have a language. The reference project
     keeps no language of a narrative, so `lang` is the caller's.
 
     A null text or one without a letter is `und` with score 0, and so is everything where
     no language is known. Null ids and repeated rows stay, one row each; ties go to the
     first language in order; other columns are not carried; no cases, no rows.
     """
-    model = fit_identifier(labelled.select("id", "rationale", "lang"), inverse_document_frequency(cases))
+    model = learned_identifier(labelled)
     kind = cases.schema["id"].dataType.simpleString()
     return cases.select("id", "rationale").mapInArrow(_predict(model), f"id {kind}, lang_pred string, score double")
 
@@ -235,6 +241,10 @@ def _keep(model: Identifier, least: float):
 
 
 def keep_known_languages(cases: DataFrame, labelled: DataFrame, least: float = 0.5) -> DataFrame:
-    """The cases whose language is told with a score of at least `least`, with all their columns. Learns as `identify_language`."""
-    model = fit_identifier(labelled.select("id", "rationale", "lang"), inverse_document_frequency(cases))
+    """The cases whose language is told with a score of at least `least`, with all their columns.
+
+    Learns as `identify_language`. Null texts and texts without a letter go; null ids and repeated rows are judged one by one, very long texts
+    whole; other columns may have any name. No cases: no rows.
+    """
+    model = learned_identifier(labelled)
     return cases.mapInArrow(_keep(model, least), cases.schema)

@@ -66,3 +66,22 @@ def test_temperature_is_the_best_of_a_grid():
     labels = np.array([draw.choice(3, p=p) for p in li.softmax(logits / 2.5)])
     t = li.best_temperature(logits, labels)
     assert 1.8 < t < 3.4
+
+
+def plain_model(labelled):
+    """Document frequencies of the labelled texts, counted one by one."""
+    counts = np.zeros(li.FEATURES)
+    for _, text, _ in labelled:
+        counts += li.grams(text) > 0
+    return np.log((1 + len(labelled)) / (1 + counts)) + 1
+
+
+def test_held_out_and_unlabelled_texts_teach_nothing(spark):
+    data = rows(120)
+    kinds = "id long, rationale string, lang string"
+    labelled = spark.createDataFrame([r for r in data if r[0] % 5] + [(777, "no language zzz qqq", None)], kinds)
+    other = [(i, t if i % 5 else "zz qq jj " * i, lang) for i, t, lang in data]
+    a, b = ({r["id"]: r for r in li.identify_language(spark.createDataFrame(x, kinds), labelled).collect()} for x in (data, other))
+    assert all(a[i] == b[i] for i, _, _ in data if i % 5)
+    model = li.learned_identifier(labelled)
+    assert np.allclose(model.idf, plain_model([r for r in data if r[0] % 5]))
