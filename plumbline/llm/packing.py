@@ -48,6 +48,8 @@ class WordIds:
 
     def _letters(self, stems: list[str]) -> dict[str, bytes]:
         """Words of letters alone, many to a line: each is cut off behind its token that ends a word."""
+        if not stems:
+            return {}
         lines = [" ".join(stems[i : i + WORDS_PER_LINE]) for i in range(0, len(stems), WORDS_PER_LINE)]
         coded = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
         ids = np.concatenate([np.zeros(0, np.uint32), *coded])

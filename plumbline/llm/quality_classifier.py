@@ -155,7 +155,9 @@ def fit_discriminant(labelled: DataFrame, least: float = 0.05) -> Discriminant:
         return Discriminant(zero, zero + 1, zero, zero, zero, 0.0, only)
     mean = sums[:, 1 : 1 + d].sum(axis=0) / n.sum()
     second = sums[:, 1 + d :].sum(axis=0).reshape(d, d) / n.sum()
-    scale = np.sqrt(np.maximum(np.diag(second) - mean * mean, 1e-12))
+    spread = np.diag(second) - mean * mean
+    # a constant statistic has rounding alone for a spread, which is no unit
+    scale = np.sqrt(np.where(spread > 1e-9 * (1 + np.diag(second)), spread, 1.0))
     means, factors, log_dets = [], [], []
     for c in (0, 1):
         own = sums[c, 1 : 1 + d] / n[c]

@@ -82,3 +82,9 @@ def test_patterns_hold_all_items_near_the_bound():
         assert all(p @ sizes <= 64 for p, _ in patterns)
         assert (sum(k * p for p, k in patterns) >= demand).all()
         assert sum(k for _, k in patterns) <= np.ceil(sizes @ demand / 64) * 1.02 + 2
+
+
+def test_texts_without_words_of_letters(spark):
+    rows = [(1, "12 34 !!"), (2, None), (3, "...")]
+    got = packing.pack_cases(spark.createDataFrame(rows, "id long, rationale string").coalesce(1), P.path("word_bpe_49k.json")).collect()
+    assert sorted(r["id"] for r in got) == [1, 2, 3]

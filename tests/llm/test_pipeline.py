@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -21,7 +22,7 @@ def documents():
         "fr": "les poumons sont clairs sans épanchement le cœur est normal avec une opacité dans la base".split(),
     }
     made = {k: [a + b for a in v for b in v] for k, v in words.items()}
-    passage = " ".join(draw.choice(made["en"]) for _ in range(14)).capitalize() + "."
+    passage = " ".join(draw.choice(made["en"]) for _ in range(34)).capitalize() + "."
     rows = []
     for i in range(240):
         lang = "en" if i % 3 else "fr"
@@ -83,7 +84,7 @@ def test_stages_against_plain_versions(spark, folder, tmp_path):
     names = docs.columns
     good = read(spark, cp.good_quality(spark, docs, folder), tmp_path, "0")
     model = qc.fit_discriminant(
-        qc.case_vectors(docs.withColumnsRenamed(cp.AS_CASES)).join(cp.quality_labels(spark, folder), "id")
+        qc.case_vectors(cp.as_cases(docs)).join(cp.quality_labels(spark, folder), "id")
     )
     texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
     said = model.scores(np.array([qc.text_statistics(t) for _, t in texts]))
@@ -101,17 +102,14 @@ def test_stages_against_plain_versions(spark, folder, tmp_path):
     assert good.columns == known.columns == single.columns == freed.columns == names
     seen, expected = set(), {}
     for r in sorted(single.collect(), key=lambda r: r["doc_id"]):
-        kept = []
-        text, at = r["text"], 0
-        for unit in unit_dedup.cut_units(text):
-            n = unit_dedup.normalised(unit)
-            if len(n.split()) < unit_dedup.MIN_WORDS or n not in seen:
-                kept.append(text[at : at + len(unit) + 1])
-                seen.add(n)
-            at += len(unit) + 1
-        expected[r["doc_id"]] = "".join(kept)
+        text, gone = r["text"], set()
+        for at, to, unit in unit_dedup.passage_units(text, unit_dedup.MIN_WORDS):
+            if unit in seen:
+                gone |= set(range(at, to + 1))
+        seen |= {unit for _, _, unit in unit_dedup.passage_units(text, unit_dedup.MIN_WORDS)}
+        expected[r["doc_id"]] = "".join(c for i, c in enumerate(text) if i not in gone)
     got = {r["doc_id"]: r["text"] for r in freed.collect()}
-    assert got == expected and all(r["n_chars"] == len(r["text"]) for r in freed.collect())
+    assert got == expected and any(got[r["doc_id"]] != r["text"] for r in single.collect()) and all(r["n_chars"] == len(r["text"]) for r in freed.collect())
 
     tokens = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     pieces = cp.packed(spark, freed, folder).collect()
@@ -133,3 +131,28 @@ def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_shared_ids(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = ("id", "rationale", "removed", "__id", "__row", "carried", "label", "score", "class", "kept_id", "span_id", "CELL")
+    wide = docs.select("*", *(F.lit(n).alias(c) for n, c in enumerate(more))).repartition(3)
+    odd = [(None, "no id but words " * 9, "en", None, 1), (None, None, None, None, None), (7, "some other text of document seven " * 4, "en", "s", 1)]
+    wide = wide.unionByName(spark.createDataFrame(odd, COLUMNS), allowMissingColumns=True)
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, wide, folder)
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert 0 < len(rows) <= wide.count()
+        assert {r["CELL"] for r in rows if r["doc_id"] is not None} == {None, len(more) - 1}
+    assert cp.STAGES[-1][1](spark, wide, folder).count() >= wide.count()
+
+
+def test_near_duplicates_keep_unrelated_rows(spark, folder):
+    draw = random.Random(2)
+    one, two = (" ".join(draw.choice("abcdefghij") * 2 for _ in range(60)) for _ in range(2))
+    rows = [(5, one), (5, two), (6, one), (None, one), (None, "a b c d e f"), (None, "a b c d e f"), (5, two), (8, None), (8, None), (9, " \t")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS)
+    kept = cp.no_near_duplicates(spark, docs, folder).collect()
+    want = [(5, one), (5, two), (None, "a b c d e f"), (8, None), (8, None), (9, " \t")]
+    assert sorted(repr((r["doc_id"], r["text"])) for r in kept) == sorted(map(repr, want))
