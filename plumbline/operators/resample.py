@@ -4,7 +4,8 @@ Replicates are Poisson(1) weights keyed by (row or group, replicate). Rows are
 exchanged once, by score bucket, and are spread over replicates only after that
 exchange: the grouping by (bucket, replicate) is already satisfied, so the
 replicate dimension never crosses the network. What leaves a bucket is one
-partial row per replicate.
+partial row per replicate. Rates combine equal rows to counts first and draw
+Poisson(count) weights.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.functions.hashing import poisson_weight
+from plumbline.functions.hashing import poisson_count, poisson_weight
 from plumbline.functions.maths import ratio
 from plumbline.functions.ranking import attach, running_totals, value_bucket
 from plumbline.functions.skew import skew_attach
@@ -119,16 +120,19 @@ def group_bootstrap(
     return point.join(df.agg(F.count_distinct(group).alias("n_groups"))).join(ci)
 
 
-def bootstrap_rate_ci(
-    df: DataFrame, keys: Sequence[str], hit: Column, base: Column, n_boot: int = 2000, seed=1, ident: str = "id"
-) -> DataFrame:
-    """Rate of `hit` among `base` rows with its interval. Sums combine map-side per replicate."""
-    rows = df.filter(base).select(*keys, ident, hit.cast("int").alias("__h"))
-    reps = spread_replicates(rows, n_boot, seed, [ident]).groupBy(*keys, "rep").agg(
-        (F.sum(F.col("w") * F.col("__h")) / F.sum("w")).alias("rate")
-    )
+def bootstrap_rate_ci(df: DataFrame, keys: Sequence[str], hit: Column, base: Column, n_boot: int = 2000, seed=1) -> DataFrame:
+    """Rate of `hit` among `base` rows with its interval.
+
+    Rows of a key are alike but for the hit, so they combine to two counts on the map side and each count takes one Poisson draw a
+    replicate: the work after that pass depends on keys and replicates, not on rows.
+    """
+    cells = df.filter(base).groupBy(*keys, hit.cast("int").alias("__h")).agg(F.count(F.lit(1)).alias("__k"))
+    each = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    each = each.withColumn("w", poisson_count(F.col("__k"), seed, *keys, "__h", "rep")).filter("w > 0")
+    reps = each.groupBy(*keys, "rep").agg((F.sum(F.col("w") * F.col("__h")) / F.sum("w")).alias("rate"))
     ci = reps.groupBy(*keys).agg(*interval(reps, keys, "rate", "rate"))
-    point = rows.groupBy(*keys).agg(F.avg("__h").alias("rate"))
+    hits = F.sum(F.col("__k") * F.col("__h")) / F.sum(F.when(F.col("__h").isNotNull(), F.col("__k")))
+    point = cells.groupBy(*keys).agg(hits.alias("rate"))
     return attach(point, ci, keys) if keys else point.join(ci)
 
 
