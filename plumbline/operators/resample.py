@@ -17,6 +17,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.hashing import poisson_count, poisson_weight
+from plumbline.functions.intervals import clopper_pearson
 from plumbline.functions.maths import ratio
 from plumbline.functions.ranking import attach, running_totals, value_bucket
 from plumbline.functions.skew import skew_attach
@@ -174,7 +175,7 @@ def recalibrated_operating_point(
     """Threshold refitted on a cal slice, judged on the rest, over n_splits splits.
 
     Returns median and quartiles of sensitivity, median specificity and the split
-    nearest the median (first on ties). Groups under `floor` per class are left out.
+    nearest the median (first on ties) with its exact binomial interval. Groups under `floor` per class are left out.
     """
     big = df.groupBy(*keys).agg(F.count_if(F.col(label) == 1).alias("__p"), F.count_if(F.col(label) == 0).alias("__q"))
     big = big.filter((F.col("__p") >= floor) & (F.col("__q") >= floor))
@@ -210,10 +211,11 @@ def recalibrated_operating_point(
             lambda s: F.struct(F.abs(s["sens"] - F.col("sens_median")).alias("d"), s["split"].alias("split"), s["tp"].alias("tp"), s["n_pos"].alias("n_pos")),
         )
     )
-    return mids.withColumn("__near", near).select(
+    out = mids.withColumn("__near", near).select(
         *keys, "sens_median", "sens_q25", "sens_q75", "spec_median", "n_splits",
         F.col("__near.split").alias("median_split"), F.col("__near.tp").alias("median_tp"), F.col("__near.n_pos").alias("median_n_pos"),
     )
+    return clopper_pearson(out, "median_tp", "median_n_pos", "median")
 
 
 def pearson_within_class(df: DataFrame, z: str = "logit", source: str = "source", label: str = "label") -> DataFrame:

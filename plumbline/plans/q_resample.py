@@ -10,7 +10,7 @@ from plumbline.operators import joins as J
 from plumbline.operators import metrics as M
 from plumbline.operators import resample as B
 from plumbline.operators import splits as S
-from plumbline.plans.common import ROC, SP, THR, rounded, with_p
+from plumbline.plans.common import ROC, SP, THR, exact_bounds, rounded, with_p
 from plumbline.plans.q_metrics import AUC_OF
 from plumbline.plans.q_splits import RECAL, srank
 from plumbline.plans.registry import query
@@ -122,13 +122,16 @@ mids AS (SELECT site, quantile_cont(sens, 0.5) AS m, quantile_cont(sens, 0.25) A
  FROM per GROUP BY site)"""
 
 
+MEDIAN_SPLIT = """near AS (SELECT site, arg_min(split, (abs(sens - m), split))::INT AS median_split, arg_min(tp, (abs(sens - m), split)) AS median_tp,
+arg_min(n_pos, (abs(sens - m), split)) AS median_n_pos FROM per JOIN mids USING (site) GROUP BY site), """
+
+
 @query("recalibrated_operating_point", """SELECT site, round(m, 6) AS sens_median, round(q25, 6) AS sens_q25, round(q75, 6) AS sens_q75, round(ms, 6) AS spec_median, n_splits,
-median_split::INT AS median_split, median_tp, median_n_pos FROM mids JOIN (SELECT site, arg_min(split, (abs(sens - m), split)) AS median_split,
-arg_min(tp, (abs(sens - m), split)) AS median_tp, arg_min(n_pos, (abs(sens - m), split)) AS median_n_pos FROM per JOIN mids USING (site) GROUP BY site) USING (site)""",
-       "scored", SP + ", " + RECAL_STEPS)
+median_split, median_tp, median_n_pos, round(lo, 6) AS median_lo, round(hi, 6) AS median_hi FROM mids JOIN near USING (site) LEFT JOIN exact ON k = median_tp AND n = median_n_pos""",
+       "scored", SP + ", " + RECAL_STEPS + ", " + MEDIAN_SPLIT + exact_bounds("SELECT median_tp AS k, median_n_pos AS n FROM near"))
 def _recal(v):
     out = B.recalibrated_operating_point(with_p(v.scored), ["site"])
-    return rounded(out, "sens_median", "sens_q25", "sens_q75", "spec_median")
+    return rounded(out, "sens_median", "sens_q25", "sens_q75", "spec_median", "median_lo", "median_hi")
 
 
 PERMUTED = ", ".join(

@@ -119,6 +119,25 @@ def _roles(v):
     return v.spark.read.parquet(at).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _written(v, fmt: str):
+    """The roles written in a format and read again."""
+    from plumbline.sources.tables import write_tables
+
+    at, roles = f"{workspace(v.spark)}/{fmt}", v.roled.select("id", "source", "label", "role")
+    write_tables(roles, at, fmt)
+    return v.spark.read.schema(roles.schema).option("header", "true").format(fmt).load(at)
+
+
+@query("write_tables_csv", "SELECT id, source, label, role FROM roled", "roled")
+def _csv(v):
+    return _written(v, "csv")
+
+
+@query("write_tables_json", "SELECT id, source, label, role FROM roled", "roled")
+def _json(v):
+    return _written(v, "json")
+
+
 @query("incremental_checkpoint", """SELECT part, count(*) AS n FROM (SELECT site AS part FROM scored) GROUP BY part""", "scored")
 def _increment(v):
     from plumbline.sources.tables import read_increments, write_increment
