@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import weakref
 from collections.abc import Callable, Iterator
 
@@ -59,8 +60,11 @@ def text_slices(texts: pa.StringArray, most: int) -> Iterator[tuple[int, pa.Stri
 
 
 def release_memory(keep: WordCache | None = None) -> None:
-    """Forget the words of other operators and give back what Arrow holds for later: Python workers outlive their tasks."""
+    """Forget the words of other operators and give back what Arrow and the C heap hold for later: Python workers outlive their tasks."""
     for cache in list(_caches):
         if cache is not keep:
             cache.words.clear()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc alone has it
+        trim(0)
