@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import audits as A
 from plumbline.operators import probes as P
 from plumbline.operators import retrieval as N
+from plumbline.operators import splits as S
 from plumbline.plans.common import rounded
 from plumbline.plans.registry import query
 
@@ -38,7 +39,7 @@ def _vote(v):
 
 
 def features(v):
-    return P.as_features(v.vecs).drop("v").persist()
+    return P.as_features(v.vecs).persist()
 
 
 @query("linear_probe")
@@ -49,17 +50,17 @@ def _probe(v):
 
 @query("probe_lodo")
 def _lodo(v):
-    return rounded(P.probe_lodo(features(v)), "auc", digits=4)
+    return rounded(P.probe_lodo(v.vecs), "auc", digits=4)
 
 
 @query("probe_lodo_means")
 def _means(v):
-    return rounded(P.lodo_means(P.probe_lodo(features(v))), "macro", "by_rows", "by_groups", digits=4)
+    return rounded(P.lodo_means(P.probe_lodo(v.vecs)), "macro", "by_rows", "by_groups", digits=4)
 
 
 @query("probe_within_source")
 def _within(v):
-    return rounded(P.probe_within_source(features(v)), "auc", digits=4)
+    return rounded(P.probe_within_source(v.vecs), "auc", digits=4)
 
 
 @query("probe_cross_site")
@@ -95,9 +96,27 @@ def _ablation(v):
 @query("confound_gate")
 def _confound(v):
     d = features(v)
-    within = P.probe_within_source(d).agg(F.avg("auc").alias("within"))
-    lodo = P.probe_lodo(d, balanced=False).agg(F.avg("auc").alias("cross_source"))
+    within = P.probe_within_source(v.vecs).agg(F.avg("auc").alias("within"))
+    lodo = P.probe_lodo(v.vecs, balanced=False).agg(F.avg("auc").alias("cross_source"))
     site = P.probe_cross_site(d.filter("source <> 's3'"), d.filter("source = 's3'")).select(F.col("auc").alias("cross_site"))
     out = within.join(lodo).join(site)
     gate = A.confound_gate(F.col("within"), F.col("cross_source"), F.col("cross_site"))
     return rounded(out.withColumn("verdict", gate), "within", "cross_source", "cross_site", digits=4)
+
+
+@query("permutation_refit")
+def _permutation(v):
+    return rounded(P.permutation_check(v.vecs), "mean_auc", "lo", "hi", digits=4)
+
+
+@query("permutation_refit_groups")
+def _permutation_groups(v):
+    """Whole groups keep one label; with the guard off, as the operator's user would to see whether groups leak."""
+    return rounded(P.permutation_check(v.vecs, by="grp", guard=False), "mean_auc", "lo", "hi", digits=4)
+
+
+@query("dose_refit")
+def _dose(v):
+    site = S.stratified_split(v.vecs.filter("source = 's3'"), test_frac=0.4, seed="pool")
+    out = P.dose_refit(v.vecs.filter("source <> 's3'"), site.filter("role = 'train'"), site.filter("role = 'test'"))
+    return rounded(out, "temperature", "threshold", "auc", "ece", "spec_at_sens", "sens_at_spec", "sens", "known_auc", "known_sens", digits=3)
