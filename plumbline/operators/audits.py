@@ -14,6 +14,7 @@ from plumbline import constants as K
 from plumbline.functions.intervals import clopper_pearson
 from plumbline.functions.maths import floored_ratio, ratio, wilson
 from plumbline.operators import metrics as M
+from plumbline.operators import resample as R
 from plumbline.operators.rules import evidence_fires
 
 HIGH_SCORE = 0.95
@@ -167,6 +168,25 @@ def lodo_report(folds: DataFrame, keys: Sequence[str], remix: Sequence[str], thr
     return base.join(cold, list(keys)).join(ranks, list(keys)).withColumn("remix", F.col(keys[0]).isin(list(remix)))
 
 
+def lodo_report_full(
+    folds: DataFrame, key: str, remix: Sequence[str], thr: float, p: str = "p", label: str = "label", n_boot: int = 2000, ident: str = "id"
+) -> DataFrame:
+    """`lodo_report` with the bootstrap interval of the AUC, the median recalibrated point and a row 'mean' over the folds.
+
+    Folds with too few rows of a class for recalibration have NULL there. The mean row sums n and pos and is no remix.
+    """
+    report = lodo_report(folds, [key], remix, thr, p, label)
+    span = R.bootstrap_auc_ci(folds, [key], p, label, n_boot, ident=ident).select(key, "auc_lo", "auc_hi")
+    again = R.recalibrated_operating_point(folds, [key], p, label, ident=ident).select(
+        key, F.col("sens_median").alias("recal_sens"), F.col("spec_median").alias("recal_spec"), F.col("median_lo").alias("recal_lo"),
+        F.col("median_hi").alias("recal_hi"),
+    )
+    full = report.join(span, key, "left").join(again, key, "left")
+    totals = {c: F.sum(c) if c in ("n", "pos") else F.avg(c) for c in ("n", "pos", "ece", "sens", "spec", "auc", "recal_sens", "recal_spec")}
+    mean = full.agg(*[e.alias(c) for c, e in totals.items()]).select(F.lit("mean").alias(key), "*", F.lit(False).alias("remix"))
+    return full.unionByName(mean, allowMissingColumns=True)
+
+
 def worst_clean_fold(report: DataFrame, fold: str = "source") -> DataFrame:
     """Mean AUC over all folds and the non-remix fold of the lowest sensitivity."""
     clean = ~F.col("remix") & F.col("sens").isNotNull()

@@ -11,6 +11,7 @@ from plumbline.operators import metrics as M
 from plumbline.operators import splits as S
 from plumbline.plans.common import ROC, SP, THR, exact_bounds, rounded, with_p
 from plumbline.plans.q_metrics import AUC_OF, LOCKED_SQL, SS, sbin, swilson
+from plumbline.plans.q_resample import MEDIAN_SPLIT, N_BOOT, RECAL_STEPS, ci, rep_roc, reps_sql
 from plumbline.plans.q_splits import quota_sql, srank
 from plumbline.plans.registry import query
 from plumbline.plans.views import ssig, su
@@ -143,6 +144,22 @@ def _report(v):
     return rounded(report(v), "ece", "sens", "spec", "auc")
 
 
+FULL = f"""ci AS (SELECT k AS site, {ci('auc', 'auc')} FROM a1 WHERE auc IS NOT NULL GROUP BY k),
+recal AS (SELECT site, m AS recal_sens, ms AS recal_spec, lo AS recal_lo, hi AS recal_hi FROM mids JOIN near USING (site) LEFT JOIN exact ON k = median_tp AND n = median_n_pos),
+lfull AS (SELECT * FROM report LEFT JOIN ci USING (site) LEFT JOIN recal USING (site))"""
+
+
+@query("lodo_report_full", """SELECT site, n, pos, round(ece,6) AS ece, round(sens,6) AS sens, round(spec,6) AS spec, round(auc,6) AS auc, remix, auc_lo, auc_hi,
+round(recal_sens,6) AS recal_sens, round(recal_spec,6) AS recal_spec, round(recal_lo,6) AS recal_lo, round(recal_hi,6) AS recal_hi FROM (SELECT * FROM lfull UNION ALL BY NAME
+SELECT 'mean' AS site, sum(n)::BIGINT AS n, sum(pos)::BIGINT AS pos, avg(ece) AS ece, avg(sens) AS sens, avg(spec) AS spec, avg(auc) AS auc, false AS remix,
+avg(recal_sens) AS recal_sens, avg(recal_spec) AS recal_spec FROM lfull)""", "scored",
+       ROC_SITE + ", " + SS + ", " + REPORT + ", " + reps_sql("sp", "id, site, label, p", "id", 11) + ", " + rep_roc("rb", "site", "p", "1") + ", " + RECAL_STEPS + ", "
+       + MEDIAN_SPLIT + exact_bounds("SELECT median_tp AS k, median_n_pos AS n FROM near") + ", " + FULL)
+def _report_full(v):
+    out = A.lodo_report_full(with_p(v.scored), "site", ["s3"], K.LOCKED_THR, n_boot=N_BOOT)
+    return rounded(out, "ece", "sens", "spec", "auc", "auc_lo", "auc_hi", "recal_sens", "recal_spec", "recal_lo", "recal_hi")
+
+
 @query("worst_clean_fold", """SELECT round(avg(auc),6) AS mean_auc, arg_min(site, (sens, site)) FILTER (NOT remix) AS worst_fold, round(min(sens) FILTER (NOT remix),6) AS worst_sens FROM report""",
        "scored", ROC_SITE + ", " + SS + ", " + REPORT)
 def _worst(v):
