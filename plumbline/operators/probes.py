@@ -126,7 +126,7 @@ def probe_lodo(df: DataFrame, source: str = "source", label: str = "label", bala
     rows = MF.task_rows(coded, vector, [label], bars=F.array("__code"))
     two = S.two_class_sources(coded, "__code", label)
     tasks = MF.Tasks.of([(-1, r[0], 0, 0) for r in two.orderBy("__code").toLocalIterator()])
-    scored = MF.fit_many(rows, tasks, balanced=balanced).score(rows, [source, group, label])
+    scored = settle(MF.fit_many(rows, tasks, balanced=balanced).score(rows, [source, group, label]))
     sizes = scored.groupBy(source).agg(F.count_distinct(group).alias("n_groups"))
     return M.auc(scored, [source], "score", label).withColumn("n", F.col("n_pos") + F.col("n_neg")).join(sizes, source)
 
@@ -158,7 +158,8 @@ def probe_within_source(
     folded = S.stratified_group_kfold(keyed, k, label, "__g", within=["__code"])
     rows = MF.task_rows(folded, vector, [label], scope=F.col("__code"), bars=F.array("fold"))
     fits = MF.fit_many(rows, MF.Tasks.of([(s, f, 0, 0) for s in big for f in range(k)]))
-    folds = M.auc(fits.score(rows, [source, "fold", label]), [source, "fold"], "score", label).filter("auc IS NOT NULL")
+    scored = settle(fits.score(rows, [source, "fold", label]))
+    folds = M.auc(scored, [source, "fold"], "score", label).filter("auc IS NOT NULL")
     means = folds.groupBy(F.col(source).alias("__s")).agg(F.avg("auc").alias("auc"))
     return sizes.join(means, F.col(source).eqNullSafe(F.col("__s")), "left").drop("__s")
 
@@ -248,7 +249,7 @@ def permutation_refit(
     drawn = settle(permuted_labels(df, n_perms, label, by))
     rows = MF.task_rows(skew_attach(coded, drawn, by, [ident], "__rows"), vector, labels, bars=bars)
     fits = MF.fit_many(rows, MF.Tasks.of([(-1, s, 0, k) for k in range(n_perms) for s in range(len(names))]))
-    scored = fits.score(rows, ["__code", *labels]).withColumn("__y", F.element_at(F.array(*labels), F.col("variant") + 1))
+    scored = settle(fits.score(rows, ["__code", *labels])).withColumn("__y", F.element_at(F.array(*labels), F.col("variant") + 1))
     folds = M.auc(scored, ["variant", "__code"], "score", "__y")
     return folds.groupBy(F.col("variant").alias("perm")).agg(F.avg("auc").alias("auc"), F.count("auc").alias("n_folds"))
 
