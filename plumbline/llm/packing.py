@@ -20,7 +20,8 @@ LENGTH = 2_048
 UNIT = 8
 END_ID = 1
 CACHED_WORDS = 700_000
-BYTES_PER_STEP = 8_000_000
+#: Text encoded at once: a step's words and token numbers take some ten times as much in the worker.
+BYTES_PER_STEP = 3_000_000
 MAX_PIVOTS = 5_000
 #: The linear solution is within this share of the best one: its value over the best pattern's is a lower bound.
 GAP = 5e-4
