@@ -27,7 +27,7 @@ from plumbline.session import settle, spread_small
 
 WORDS = ("s0", "s1", "s2", "s3")
 THRESHOLD = 6
-SHINGLE = 1
+SHINGLE = 5
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _BLOCK = 16_384
 # Hex digit widths of the 7 disjoint bands of a 64-digit signature.
@@ -52,22 +52,25 @@ def _simhash(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.packbits(votes * 2 > n).view(">i8").astype("int64")
 
 
-def _simhash_batch(texts: pd.Series) -> pd.DataFrame:
-    if not len(texts):
-        return pd.DataFrame({w: pd.Series(dtype="int64") for w in WORDS})
-    return pd.DataFrame(np.stack([_simhash(t) for t in texts]), columns=list(WORDS))
+def _simhash_batch(size: int):
+    def run(texts: pd.Series) -> pd.DataFrame:
+        if not len(texts):
+            return pd.DataFrame({w: pd.Series(dtype="int64") for w in WORDS})
+        return pd.DataFrame(np.stack([_simhash(t, size) for t in texts]), columns=list(WORDS))
 
+    return run
 
-def text_signatures(df: DataFrame, ident: str = "id", text: str = "text") -> DataFrame:
+
+def text_signatures(df: DataFrame, ident: str = "id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """256-bit SimHash per item as four BIGINT words (ident, s0..s3).
 
-    Every run of SHINGLE consecutive words of the whole text votes with its SHA-256
-    bits; a shorter text is one run. Map-only for any input with enough splits: the
+    Every run of `size` consecutive words of the whole text votes with its SHA-256
+    bits; a shorter text is one run. Runs of one word tell nothing of their order. Map-only for any input with enough splits: the
     text does not cross a shuffle, one narrow row per item leaves the task. A long text is voted in blocks, so
     memory does not grow with it.
     """
     df = spread_small(df.select(ident, text))
-    hashed = F.pandas_udf(_simhash_batch, ", ".join(f"{w} bigint" for w in WORDS))
+    hashed = F.pandas_udf(_simhash_batch(size), ", ".join(f"{w} bigint" for w in WORDS))
     return df.select(ident, hashed(F.col(text)).alias("__s")).select(ident, "__s.*")
 
 

@@ -9,14 +9,19 @@ from plumbline.plans.registry import query
 
 DIGIT = "(strpos('0123456789abcdef', substr(h, pos, 1)) - 1)"
 
-# SimHash of words as 64 hex digits per document.
-SIGS = f"""wd AS (SELECT doc_id AS id, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda w: len(w) > 0) AS ws FROM documents),
-sh AS (SELECT id, unnest(CASE WHEN len(ws) < 1 THEN [''] ELSE ws END) AS g FROM wd),
+
+def sigs_sql(size: int) -> str:
+    """SimHash of runs of `size` words as 64 hex digits per document; a shorter text is one run."""
+    return f"""wd AS (SELECT doc_id AS id, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda w: len(w) > 0) AS ws FROM documents),
+sh AS (SELECT id, unnest(list_transform(range(1, greatest(len(ws) - {size - 1}, 1) + 1), lambda i: coalesce(array_to_string(ws[i:i + {size - 1}], ' '), ''))) AS g FROM wd),
 hs AS (SELECT id, sha256(g) AS h FROM sh),
 dg AS (SELECT id, pos, count(*) AS n, sum({DIGIT} // 8) AS a, sum({DIGIT} // 4 % 2) AS b, sum({DIGIT} // 2 % 2) AS c, sum({DIGIT} % 2) AS d
  FROM hs, range(1, 65) r(pos) GROUP BY id, pos),
 sig AS MATERIALIZED (SELECT id, string_agg(substr('0123456789abcdef', ((a*2 > n)::INT*8 + (b*2 > n)::INT*4 + (c*2 > n)::INT*2 + (d*2 > n)::INT) + 1, 1), ''
  ORDER BY pos) AS s FROM dg GROUP BY id)"""
+
+
+SIGS = sigs_sql(5)
 HAM = " + ".join(
     f"bit_count(xor(('0x' || substr(x.s, {1 + 8 * i}, 8))::BIGINT, ('0x' || substr(y.s, {1 + 8 * i}, 8))::BIGINT))::INT" for i in range(8))
 REPS = "reps AS MATERIALIZED (SELECT s, min(id) AS rep, count(*) AS copies FROM sig GROUP BY s)"
@@ -30,9 +35,9 @@ clusters AS MATERIALIZED (SELECT sig.id, dense_rank() OVER (ORDER BY root) - 1 A
 ALL = ", ".join((SIGS, REPS, PAIRS, COMPS))
 
 
-def signatures(v):
+def signatures(v, size: int = D.SHINGLE):
     docs = v.table("documents").select(F.col("doc_id").alias("id"), "text")
-    return D.text_signatures(docs)
+    return D.text_signatures(docs, size=size)
 
 
 def clusters(v):
@@ -52,9 +57,10 @@ def _sign(v):
     return out.select("id", F.bit_count("s0").alias("n_on"), F.lpad(F.bin("s0"), 64, "0").alias("bits"))
 
 
-@query("near_dup_join", "SELECT * FROM pairs", "", ", ".join((SIGS, REPS, PAIRS)))
+@query("near_dup_join", "SELECT * FROM pairs", "", ", ".join((sigs_sql(1), REPS, PAIRS)))
 def _near(v):
-    out = D.near_dup_join(D.distinct_signatures(signatures(v)))
+    """Pairs of signatures over single words: texts with nearly the same words, in any order. Nothing is dropped by it."""
+    out = D.near_dup_join(D.distinct_signatures(signatures(v, 1)))
     return out.withColumn("hamming", F.col("hamming").cast("int"))
 
 
