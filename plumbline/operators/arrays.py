@@ -229,13 +229,6 @@ def localization_scores(cells: DataFrame, ident: str = "id", evidence: str = "ev
     return pointing_game(cells, ident, evidence, truth).join(iou_scores(cells, ident, evidence, truth), ident)
 
 
-def localization_summary(scores: DataFrame, tag: str) -> DataFrame:
-    return scores.agg(
-        F.lit(tag).alias("map"), F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("double")).alias("hit_rate"),
-        F.avg("iou_topk").alias("miou_topk"), F.avg("iou_fixed").alias("miou_fixed"),
-    )
-
-
 def cell_pos_weight(cells: DataFrame, truth: str = "gt") -> DataFrame:
     """max(1, neg / max(1, pos)) over the cells of boxed items."""
     pos = F.count_if(F.col(truth) > 0.5)

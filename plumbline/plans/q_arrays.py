@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.hashing import unit
 from plumbline.functions.maths import sigmoid
 from plumbline.operators import arrays as G
-from plumbline.operators import resample as B
+from plumbline.operators import audits as A
 from plumbline.plans.common import rounded
 from plumbline.plans.q_resample import N_BOOT_MEAN, ci, reps_sql
 from plumbline.plans.registry import query
@@ -175,20 +175,26 @@ def _ioufixed(v):
     return rounded(G.iou_scores(located(v)).select("id", "iou_fixed"), "iou_fixed")
 
 
-@query("localization_report", f"""SELECT map, n, round(hit_rate,6) AS hit_rate, round(miou_topk,6) AS miou_topk, round(miou_fixed,6) AS miou_fixed, mean_lo AS hit_lo, mean_hi AS hit_hi FROM (
-SELECT *, 0 AS j FROM las UNION ALL SELECT *, 1 FROM lrs) JOIN (
-SELECT 0 AS j, {ci('mean', 'mean')} FROM (SELECT rep, sum(w*hit::INT)::DOUBLE/sum(w) AS mean FROM ra GROUP BY rep) UNION ALL
-SELECT 1, {ci('mean', 'mean')} FROM (SELECT rep, sum(w*hit::INT)::DOUBLE/sum(w) AS mean FROM rr GROUP BY rep)) USING (j)""", "cells boxes",
-       ", ".join((RAST, LOC, loc_sql("ev", "model", "la"), loc_sql("rnd", "random", "lr"), reps_sql("la", "id, hit", "id", 7, N_BOOT_MEAN, "ra"), reps_sql("lr", "id, hit", "id", 7, N_BOOT_MEAN, "rr"))))
+LIFTS = ", ".join(f"round({c} - max({c}) FILTER (map = 'random') OVER (), 6) AS {m}_lift" for m, c in (("hit", "hit_rate"), ("miou_topk", "miou_topk"), ("miou_fixed", "miou_fixed")))
+
+
+def span_sql(tag: str, reps: str) -> str:
+    """Intervals of one map over its replicates."""
+    iou = ", ".join(f"sum(w*{c})/sum(w) FILTER ({c} IS NOT NULL) AS {c}" for c in ("iou_topk", "iou_fixed"))
+    return f"""SELECT '{tag}' AS map, {ci('hit', 'hit')}, {ci('iou_topk', 'miou_topk')}, {ci('iou_fixed', 'miou_fixed')}
+FROM (SELECT rep, sum(w*hit::INT)::DOUBLE/sum(w) AS hit, {iou} FROM {reps} GROUP BY rep)"""
+
+
+@query("localization_report", f"""SELECT map, n, round(hit_rate,6) AS hit_rate, round(miou_topk,6) AS miou_topk, round(miou_fixed,6) AS miou_fixed, {LIFTS},
+hit_lo, hit_hi, miou_topk_lo, miou_topk_hi, miou_fixed_lo, miou_fixed_hi FROM (SELECT * FROM las UNION ALL SELECT * FROM lrs)
+JOIN ({span_sql('model', 'ra')} UNION ALL {span_sql('random', 'rr')}) USING (map)""", "cells boxes",
+       ", ".join((RAST, LOC, loc_sql("ev", "model", "la"), loc_sql("rnd", "random", "lr"), *(
+           reps_sql(t, "id, hit, iou_topk, iou_fixed", "id", 7, N_BOOT_MEAN, r) for t, r in (("la", "ra"), ("lr", "rr"))))))
 def _report(v):
-    d, out = located(v), None
-    for column, tag in (("ev", "model"), ("rnd", "random")):
-        s = G.localization_scores(d, evidence=column)
-        hits = s.withColumn("h", F.col("hit").cast("double"))
-        interval = B.bootstrap_mean_ci(hits, [], "h", N_BOOT_MEAN).select(F.col("mean_lo").alias("hit_lo"), F.col("mean_hi").alias("hit_hi"))
-        one = G.localization_summary(s, tag).join(interval)
-        out = one if out is None else out.unionByName(one)
-    return rounded(out, "hit_rate", "miou_topk", "miou_fixed", "hit_lo", "hit_hi")
+    d = located(v)
+    scores = {tag: G.localization_scores(d, evidence=column) for tag, column in (("model", "ev"), ("random", "rnd"))}
+    out, spans = A.localization_report(scores, n_boot=N_BOOT_MEAN), ("hit", "miou_topk", "miou_fixed")
+    return rounded(out, "hit_rate", "miou_topk", "miou_fixed", *(f"{m}_{e}" for m in spans for e in ("lift", "lo", "hi")))
 
 
 @query("cell_pos_weight", "SELECT round(greatest(1e0, (count(*) - count(*) FILTER (gt > 0.5))::DOUBLE / greatest(1, count(*) FILTER (gt > 0.5))), 6) AS pos_weight FROM loc", "cells boxes", RAST + ", " + LOC)

@@ -109,12 +109,20 @@ def _paired(v):
     return rounded(out, "d_auc_lo", "d_auc_hi", "d_spec_lo", "d_spec_hi")
 
 
-RECAL_STEPS = f"""big AS (SELECT site FROM sp GROUP BY site HAVING count(*) FILTER (label=1) >= 8 AND count(*) FILTER (label=0) >= 8),
+THR_ROC = """SELECT site, split, coalesce(max(p) FILTER (tpr >= 0.95e0), 0.5e0) AS threshold FROM (SELECT site, split, p,
+ sum(np) OVER (PARTITION BY site, split ORDER BY p DESC)::DOUBLE / nullif(sum(np) OVER (PARTITION BY site, split), 0) AS tpr
+ FROM (SELECT site, split, p, count(*) FILTER (label=1) AS np FROM resplit WHERE role = 'cal' GROUP BY ALL)) GROUP BY ALL"""
+THR_QUANTILE = """SELECT site, split, coalesce(max(p) FILTER (label = 1 AND rn = greatest(0, floor((1 - 0.95e0)*n))::BIGINT + 1), 0.5e0) AS threshold
+ FROM (SELECT site, split, label, p, row_number() OVER (PARTITION BY site, split, label ORDER BY p) AS rn, count(*) OVER (PARTITION BY site, split, label) AS n
+ FROM resplit WHERE role = 'cal') GROUP BY site, split"""
+
+
+def recal_steps(thr: str) -> str:
+    """Sensitivity and specificity of every split of the big sites at the threshold that `thr` selects from its cal rows."""
+    return f"""big AS (SELECT site FROM sp GROUP BY site HAVING count(*) FILTER (label=1) >= 8 AND count(*) FILTER (label=0) >= 8),
 bigrows AS (SELECT * FROM sp WHERE site IN (SELECT site FROM big)),
 {RECAL.format(t='bigrows')},
-thr AS (SELECT site, split, coalesce(max(p) FILTER (tpr >= 0.95e0), 0.5e0) AS threshold FROM (SELECT site, split, p,
- sum(np) OVER (PARTITION BY site, split ORDER BY p DESC)::DOUBLE / nullif(sum(np) OVER (PARTITION BY site, split), 0) AS tpr
- FROM (SELECT site, split, p, count(*) FILTER (label=1) AS np FROM resplit WHERE role = 'cal' GROUP BY ALL)) GROUP BY ALL),
+thr AS ({thr}),
 per AS (SELECT site, split, (count(*) FILTER (p >= threshold AND label=1))::DOUBLE/nullif(count(*) FILTER (label=1),0) AS sens,
  (count(*) FILTER (p < threshold AND label=0))::DOUBLE/nullif(count(*) FILTER (label=0),0) AS spec, count(*) FILTER (p >= threshold AND label=1) AS tp,
  count(*) FILTER (label=1) AS n_pos FROM resplit JOIN thr USING (site, split) WHERE role = 'eval' GROUP BY ALL),
@@ -122,6 +130,7 @@ mids AS (SELECT site, quantile_cont(sens, 0.5) AS m, quantile_cont(sens, 0.25) A
  FROM per GROUP BY site)"""
 
 
+RECAL_STEPS = recal_steps(THR_ROC)
 MEDIAN_SPLIT = """near AS (SELECT site, arg_min(split, (abs(sens - m), split))::INT AS median_split, arg_min(tp, (abs(sens - m), split)) AS median_tp,
 arg_min(n_pos, (abs(sens - m), split)) AS median_n_pos FROM per JOIN mids USING (site) GROUP BY site), """
 
@@ -134,6 +143,14 @@ def _recal(v):
     return rounded(out, "sens_median", "sens_q25", "sens_q75", "spec_median", "median_lo", "median_hi")
 
 
+@query("recalibrated_threshold_locked", "SELECT site, round(m, 6) AS sens_median, round(ms, 6) AS spec_median, n_splits FROM mids", "scored",
+       SP + ", " + recal_steps(THR_QUANTILE))
+def _recal_locked(v):
+    """The temperature stays the locked one; only the threshold is refitted, at a quantile of the cal slice's positives."""
+    out = B.recalibrated_operating_point(with_p(v.scored), ["site"], method="quantile")
+    return rounded(out.select("site", "sens_median", "spec_median", "n_splits"), "sens_median", "spec_median")
+
+
 PERMUTED = ", ".join(
     f"""pm{k} AS (SELECT {k} AS perm, logit, permuted AS label FROM (SELECT logit, {srank('', f'row{k}')} FROM scored) JOIN (SELECT label AS permuted, {srank('', f'lab{k}')} FROM scored) USING (rn))"""
     for k in range(3)) + ", pm AS (SELECT * FROM pm0 UNION ALL SELECT * FROM pm1 UNION ALL SELECT * FROM pm2)"

@@ -365,3 +365,24 @@ def test_infinite_scores_keep_their_order(spark):
     df = spark.createDataFrame(rows, "id long, score double, label int")
     assert one(M.auc(df, []))["auc"] == pytest.approx((2 + 2.5) / 6)
     assert one(M.threshold_for_sensitivity_quantile(df, []))["threshold"] == 0.7
+
+
+def test_text_signatures_of_word_runs_tell_order_apart(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [(1, " ".join(words)), (2, " ".join(reversed(words))), (3, "  ".join(words)), (4, "a b"), (5, "b a"), (6, None), (7, "")]
+    rows = {r["id"]: tuple(r)[1:] for r in D.text_signatures(spark.createDataFrame(texts, "id long, text string")).collect()}
+    assert rows[1] == rows[3] != rows[2] and rows[4] != rows[5] and rows[6] == rows[7]
+    bags = {r["id"]: tuple(r)[1:] for r in D.text_signatures(spark.createDataFrame(texts, "id long, text string"), size=1).collect()}
+    assert bags[1] == bags[2] and bags[4] == bags[5]
+
+
+def test_localization_report_lifts_and_missing_ious(spark):
+    kinds = "id long, hit boolean, iou_topk double, iou_fixed double"
+    model = spark.createDataFrame([(i, i % 4 > 0, None if i == 0 else 0.5, 0.25) for i in range(40)], kinds)
+    chance = spark.createDataFrame([(i, i % 4 == 0, 0.1, None) for i in range(40)], kinds)
+    out = {r["map"]: r for r in A.localization_report({"model": model, "random": chance}, n_boot=200).collect()}
+    m, c = out["model"], out["random"]
+    assert (m["n"], m["hit_rate"], m["hit_lift"]) == (40, 0.75, 0.5)
+    assert m["hit_lo"] < 0.75 < m["hit_hi"] and abs(m["miou_topk_lift"] - 0.4) < 1e-9
+    assert abs(m["miou_topk_lo"] - 0.5) < 1e-9 and abs(m["miou_topk_hi"] - 0.5) < 1e-9
+    assert c["miou_fixed"] is None and c["miou_fixed_lo"] is None and m["miou_fixed_lift"] is None and c["hit_lift"] == 0
