@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumbline import constants as K
 from plumbline.functions.intervals import clopper_pearson
 from plumbline.functions.maths import floored_ratio, ratio, wilson
+from plumbline.operators import arrays as G
 from plumbline.operators import metrics as M
 from plumbline.operators import resample as R
 from plumbline.operators.rules import evidence_fires
@@ -215,6 +216,18 @@ def ablation_ladder(df: DataFrame, rungs: dict[str, str], label: str = "label",
     return out
 
 
+def miss_diagnosis(
+    df: DataFrame, zones: str = "zones", findings: str = "findings", p: str = "p", label: str = "label", cut: float = 0.20,
+    n_zones: int = 4, n_findings: int = 5,
+) -> DataFrame:
+    """Positives scored under the cut with their highest zones and findings (top_zones, top_findings: key and value).
+
+    `zones` and `findings` are maps of scores; a NULL map has no top. Equal values go by key.
+    """
+    tops = {"top_zones": G.top_k_map(zones, n_zones), "top_findings": G.top_k_map(findings, n_findings)}
+    return M.confident_misses(df, p, label, cut).withColumns(tops)
+
+
 def localization_report(
     scores: dict[str, DataFrame], floor: str = "random", n_boot: int = 1000, seed=7, ident: str = "id"
 ) -> DataFrame:

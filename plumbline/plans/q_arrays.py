@@ -8,7 +8,7 @@ from plumbline.functions.hashing import unit
 from plumbline.functions.maths import sigmoid
 from plumbline.operators import arrays as G
 from plumbline.operators import audits as A
-from plumbline.plans.common import rounded
+from plumbline.plans.common import rounded, with_p
 from plumbline.plans.q_resample import N_BOOT_MEAN, ci, reps_sql
 from plumbline.plans.registry import query
 from plumbline.plans.views import ssig, su
@@ -197,6 +197,27 @@ def _report(v):
     return rounded(out, "hit_rate", "miou_topk", "miou_fixed", *(f"{m}_{e}" for m in spans for e in ("lift", "lo", "hi")))
 
 
+MISSED = f"""missed AS (SELECT id, {ssig('logit / 1.5914955557015147e0')} AS p FROM scored WHERE label = 1),
+zone AS (SELECT id, gy, max(x) AS x FROM cells GROUP BY id, gy),
+zt AS (SELECT id, string_agg('row_' || gy, ',' ORDER BY x DESC, 'row_' || gy) AS zones, round(max(x), 6) AS zone_top FROM (
+SELECT *, row_number() OVER (PARTITION BY id ORDER BY x DESC, 'row_' || gy) AS rn FROM zone) WHERE rn <= 4 GROUP BY id),
+ft AS (SELECT id, string_agg(k, ',' ORDER BY x DESC, k) AS findings, round(max(x), 6) AS finding_top FROM (
+SELECT *, row_number() OVER (PARTITION BY id ORDER BY x DESC, k) AS rn FROM ent) WHERE rn <= 5 GROUP BY id)"""
+
+
+@query("confident_misses_evidence", """SELECT id, round(p, 6) AS p, zones, zone_top, findings, finding_top FROM missed LEFT JOIN zt USING (id) LEFT JOIN ft USING (id)
+WHERE p < 0.35e0""", "scored cells vecs", ENTRIES + ", " + MISSED)
+def _missed(v):
+    rows = v.cells.groupBy("id", "gy").agg(F.max("x").alias("x"))
+    # a grid has a fixed number of rows, so the map of an item is small
+    zones = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("row_"), "gy"), "x"))).alias("zones"))
+    scores = with_p(v.scored).join(zones, "id", "left").join(finding_maps(v).select("id", F.col("m").alias("findings")), "id", "left")
+    out = A.miss_diagnosis(scores, cut=0.35)
+    tops = [c for name in ("zone", "finding") for c in (
+        F.array_join(F.transform(f"top_{name}s", lambda e: e["key"]), ",").alias(f"{name}s"), F.get(f"top_{name}s", F.lit(0))["value"].alias(f"{name}_top"))]
+    return rounded(out.select("id", "p", *tops), "p", "zone_top", "finding_top")
+
+
 @query("cell_pos_weight", "SELECT round(greatest(1e0, (count(*) - count(*) FILTER (gt > 0.5))::DOUBLE / greatest(1, count(*) FILTER (gt > 0.5))), 6) AS pos_weight FROM loc", "cells boxes", RAST + ", " + LOC)
 def _posw(v):
     return rounded(G.cell_pos_weight(located(v)), "pos_weight")

@@ -386,3 +386,12 @@ def test_localization_report_lifts_and_missing_ious(spark):
     assert m["hit_lo"] < 0.75 < m["hit_hi"] and abs(m["miou_topk_lift"] - 0.4) < 1e-9
     assert abs(m["miou_topk_lo"] - 0.5) < 1e-9 and abs(m["miou_topk_hi"] - 0.5) < 1e-9
     assert c["miou_fixed"] is None and c["miou_fixed_lo"] is None and m["miou_fixed_lift"] is None and c["hit_lift"] == 0
+
+
+def test_miss_diagnosis_orders_by_value_then_key(spark):
+    rows = [(1, 1, 0.1, {"a": 0.2, "b": 0.9, "c": 0.9}, {"x": 0.5}), (2, 1, 0.1, None, {}), (3, 1, 0.2, {"a": 1.0}, {}), (4, 0, 0.1, {"a": 1.0}, {}), (5, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, label int, p double, zones map<string,double>, findings map<string,double>")
+    out = {r["id"]: r for r in A.miss_diagnosis(df, n_zones=2).collect()}
+    assert set(out) == {1, 2}
+    assert [(z["key"], z["value"]) for z in out[1]["top_zones"]] == [("b", 0.9), ("c", 0.9)]
+    assert out[2]["top_zones"] is None and out[2]["top_findings"] == []
